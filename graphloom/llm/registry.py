@@ -1,8 +1,8 @@
 """Registered queries of this subpackage and their oracle SQL, by operator module."""
 
-from . import chat_format, mixing, sharding, simhash, url_filter
+from . import chat_format, mixing, secret_scan, sharding, simhash, toxicity, url_filter
 
-_MODULES = (chat_format, sharding, mixing, simhash, url_filter)
+_MODULES = (chat_format, sharding, toxicity, mixing, secret_scan, simhash, url_filter)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}

@@ -8,6 +8,7 @@ import os
 import sys
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 
 from .api import run, translate
@@ -44,7 +45,7 @@ def main(argv: Sequence[str] | None = None) -> int:
         with open(args.mapping_file, encoding="utf-8") as f:
             text = f.read()
         run(translate(text, args.mapping_lang) if args.mapping_lang else text, options)
-    except (MappingError, PySparkException, OSError) as e:
+    except (MappingError, PySparkException, Py4JJavaError, OSError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
     return 0

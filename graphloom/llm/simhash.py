@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_table, table, text_or_empty
+from .common import shared_table, shield, table, text_or_empty
 from .components import connected_components
 
 SHINGLE = 3
@@ -89,7 +89,7 @@ def _possible(fps: DataFrame) -> DataFrame:
     shared = present.where("n > 1").select("key")
     alike = exact.join(shared, "key", "left_semi").select("fp")
     moved = exact.select("fp", "key", F.explode(_masks(*(1 << (i + 1) for i in range(32)))).alias("m")).select("fp", F.col("key").bitwiseXOR(F.col("m")).alias("key"))
-    near = moved.join(present.select("key"), "key", "left_semi").select("fp")
+    near = moved.hint("merge").join(present.select("key"), "key", "left_semi").select("fp")
     # the relation is symmetric: the partner finds this one through the same flip
     return alike.unionAll(near).distinct()
 
@@ -106,9 +106,10 @@ def near_links(fps: DataFrame) -> DataFrame:
     near = some.select("fp", F.explode(F.when(even, _masks(0, *_ONE)).otherwise(_masks(*_ONE))).alias("m")).select("fp", point)
     far = some.where(even).select("fp", F.explode(_masks(*_TWO)).alias("m")).select("fp", point)
     hubs = near.groupBy("point").agg(F.min("fp").alias("hub"), F.max("fp").alias("most"))
-    # among near fingerprints of a point only those that share it matter; far ones need any hub there
-    met = near.join(hubs.where("hub != most"), "point").select("fp", "hub")
-    met = met.unionAll(far.join(hubs, "point").select("fp", "hub"))
+    # among near fingerprints of a point only those that share it matter; far ones need any hub there;
+    # sizes before the explodes say nothing about these sides, so a broadcast is ruled out
+    met = near.hint("merge").join(hubs.where("hub != most"), "point").select("fp", "hub")
+    met = met.unionAll(far.hint("merge").join(hubs, "point").select("fp", "hub"))
     return met.where("fp != hub").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= RADIUS).distinct()
 
 
@@ -136,11 +137,12 @@ def near_dedup(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     Rows that repeat the kept key are near-duplicates of it too and are kept once. Rows
     with a null key have no identity to compare by and stay. Columns stay as they are.
     """
+    docs, restored = shield(docs, key, "text")
     classes = near_classes(docs.where(F.col(key).isNotNull()), key).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_kept")).distinct()
     kept = docs.join(classes, F.col(key) == F.col("_kept"), "left_semi")
     nth = F.row_number().over(Window.partitionBy(key).orderBy("text"))
     once = kept.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
-    return once.unionByName(docs.where(F.col(key).isNull()))
+    return once.unionByName(docs.where(F.col(key).isNull())).select(*restored)
 
 
 def op9_ball_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,6 +54,12 @@ def release() -> None:
             pass
 
 
+def shield(df: DataFrame, *own: str) -> tuple[DataFrame, list[Column]]:
+    """``df`` with all columns but ``own`` renamed, so that none clashes with a working column, and the columns that restore it."""
+    names = {c: c if c in own else f"_shielded{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), [F.col(n).alias(c) for c, n in names.items()]
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z only; ``lower`` would also change other scripts."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

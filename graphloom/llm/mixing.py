@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, shared_table, table
+from .common import WORD, shared_table, shield, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -48,9 +48,10 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     before = Window.orderBy("_fill", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     rest = Window.orderBy("_fill", F.col("source").asc_nulls_last()).rowsBetween(0, Window.unboundedFollowing)
     level = (share * F.col("_all") - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("_w").over(rest)
-    out = out.withColumn("_level", level)
+    place = F.row_number().over(Window.orderBy("_fill", F.col("source").asc_nulls_last()))
+    out = out.withColumns({"_level": level, "_place": place})
     # the first source that doesn't fill at its own level sets the level of all after it
-    found = F.min(F.when(F.col("_level") < F.col("_fill"), F.struct("_fill", "_level"))).over(Window.partitionBy())["_level"]
+    found = F.min(F.when(F.col("_level") < F.col("_fill"), F.struct("_place", "_level"))).over(Window.partitionBy())["_level"]
     return out.withColumn("target", F.when(found.isNull() | (F.col("_fill") <= found), F.col("_cap")).otherwise(F.col("_w") * found)).select("source", "source_size", "target")
 
 
@@ -148,11 +149,12 @@ def mix_rows(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     Rows of size 0 stay once, since they weigh nothing. The row number that joins a row to
     its copies is fixed by being written.
     """
+    docs, restored = shield(docs, "doc_id", "source", "text")
     rows = shared_table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     mixed = mix(rows, weights, share, most, seed, carry=["_row"]).where("copies > 0 or size = 0")
     copies = mixed.select("_row", F.greatest("copies", F.lit(1).cast("long")).alias("_copies"))
     both = rows.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return both.select(*docs.columns)
+    return both.select(*restored)
 
 
 def op7_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

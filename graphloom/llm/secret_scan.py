@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_table, table, text_or_empty
+from .common import shared_table, shield, table, text_or_empty
 
 KINDS = ("assign", "access", "hex", "format")
 _ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
@@ -246,13 +246,14 @@ def _masker(mark: str):
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``mark`` and ``n_chars``, if there, counted anew; all rows and columns stay."""
+    docs, restored = shield(docs, "text", "n_chars")
     rest = [c for c in docs.columns if c != "text"]
     found = find_secrets(docs, docs.columns)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
     out = found.select(*rest, "text", "secrets").mapInArrow(_masker(mark), f"{schema + ', ' if rest else ''}text string")
     if "n_chars" in rest:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*restored)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

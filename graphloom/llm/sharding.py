@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, text_or_empty
+from .common import shield, table, text_or_empty
 
 SHARDS = 40
 #: Virtual nodes a shard has.
@@ -72,7 +72,8 @@ def assign_shards(rows: DataFrame, key: Sequence[str], shards: int = SHARDS, vno
     named shard or slot are replaced. Empty input gives no rows.
     """
     nodes = ring(shards, vnodes)
-    keep = [c for c in rows.columns if c not in ("shard", "slot")]
+    rows, restored = shield(rows.select(*[c for c in rows.columns if c not in ("shard", "slot")]), *key, *tie)
+    keep = rows.columns
     bounds = [p for p, _ in nodes]
     position = F.pmod(F.xxhash64(*key), F.lit(_RING))
     # an arc ends at its virtual node: the first one at or after the position, clockwise
@@ -102,7 +103,7 @@ def assign_shards(rows: DataFrame, key: Sequence[str], shards: int = SHARDS, vno
     ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before"))
     mine = F.element_at(F.filter("_runs", lambda r: r["first"] <= F.col("_rank")), -1)
     ranked = ranked.withColumn("_run", mine)
-    return ranked.select(*keep, F.col("_run.shard").alias("shard"), (F.col("_run.slot") + F.col("_rank") - F.col("_run.first")).cast("long").alias("slot"))
+    return ranked.select(*restored, F.col("_run.shard").alias("shard"), (F.col("_run.slot") + F.col("_rank") - F.col("_run.first")).cast("long").alias("slot"))
 
 
 def _lower_bound(sorted_values: Column, x: Column, n: int) -> Column:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, shield, table
 from .components import connected_components
 
 #: (verdict, rule); a rule is a host and a path.
@@ -73,12 +73,12 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, edges
     """
     texts = F.array(*[F.lit(r) for _, r in rules]) if rules else F.array(F.lit(None).cast("string"))
     says = F.array(*[F.lit(v) for v, _ in rules]) if rules else F.array(F.lit(None).cast("string"))
-    keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    out = pages.select(*keep).withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
+    out, restored = shield(pages.select(*[c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]), url)
+    out = out.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     out = out.withColumn("_i", rule_for(F.col("host"), F.col("path"), rules))
     out = out.withColumns({"rule": F.get(texts, F.col("_i")), "_own": F.get(says, F.col("_i"))})
     if edges is None:
-        return out.withColumn("verdict", F.coalesce("_own", F.lit(default))).drop("_i", "_own")
+        return out.select(*restored, "host", "path", "rule", F.coalesce("_own", F.lit(default)).alias("verdict"))
     classes = connected_components(edges, "src", "dst")
     # only linked URLs carry decisions across; one row per class comes out of the partial aggregate
     node = canonical_url(F.col(url))
@@ -88,7 +88,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, edges
     spread = F.when(F.coalesce("_allow", F.lit(False)), F.lit("allow")).when(F.coalesce("_block", F.lit(False)), F.lit("block"))
     aliases = classes.join(decided, "component").select(F.col("node").alias("_node"), spread.alias("_alias"))
     out = out.withColumn("_node", node).join(aliases, "_node", "left")
-    return out.withColumn("verdict", F.coalesce("_own", "_alias", F.lit(default))).drop("_i", "_own", "_node", "_alias")
+    return out.select(*restored, "host", "path", "rule", F.coalesce("_own", "_alias", F.lit(default)).alias("verdict"))
 
 
 def op10_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,493 @@
+"""Operators on small tables against brute force, and on awkward rows."""
+
+import hashlib
+import json
+import math
+import random
+import sys
+import zlib
+from collections import Counter, defaultdict
+from pathlib import Path
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from graphloom.llm import ann, chat_format, components, mixing, packing, registry, secret_scan, sharding, simhash, syncmers, toxicity, url_filter
+
+from test_llm_small import brute_base, brute_simhash
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+KEY = "0123456789abcdef0123456789abcdef01234567"
+
+
+def words(rng, n):
+    return " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 6))) for _ in range(n))
+
+
+def corpus():
+    """Ordinary documents, copies, near copies, nulls, empty and long texts, ties and repeated rows."""
+    rng = random.Random(5)
+    rows = [(i, f"{words(rng, rng.randint(5, 60))}. {words(rng, 20)}.", "en", f"s{i % 4}", 0) for i in range(60)]
+    rows += [(100 + i, rows[0][1], "en", "s0", 0) for i in range(20)]
+    rows += [(200 + i, rows[1][1] + f" tail{i}", "en", "s0", 0) for i in range(5)]
+    rows += [(300, None, None, None, None), (301, "", "en", None, 0), (302, " \n", "en", "s1", 0), (None, "null id " * 9, "en", "s1", 0), (None, None, "en", "s1", 0)]
+    rows += [(303, f'password = "{KEY}" and more', "en", "s2", 0), (304, "x" * 300_000, "en", "s2", 0), (305, words(rng, 40_000), "en", "s3", 0)]
+    return rows + [rows[7], rows[7]]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), DOCS).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+CLASHES = ["size", "score", "fp", "shard", "slot", "copies", "host", "verdict", "key", "raw", "uid", "found", "secrets", "_row", "_nth", "target", "h", "v", "level"]
+
+
+@pytest.fixture(scope="module")
+def clashing(docs):
+    return docs.withColumns({c: F.lit("extra") for c in CLASHES})
+
+
+def test_components_match_union_find(spark):
+    rng = random.Random(2)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(500 + i, 501 + i) for i in range(40)] + [(900, 900 + i) for i in range(60)] + [(None, 3), (5, 5)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            a, b = sorted((find(a), find(b)))
+            parent[b] = a
+    got = components.connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
+    assert Counter((r.node, r.component) for r in got) == Counter((x, find(x)) for x in list(parent))
+    assert components.connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_reply_trees(spark):
+    """Two trees with branches, against recursion; a missing parent and a cycle."""
+    rows = [("t", i, p, "user" if i % 2 else "assistant", f"m{i}", float(s)) for i, p, s in [(1, None, 1), (2, 1, 5), (3, 1, 2), (4, 2, 0), (5, 2, 9), (6, 5, 1), (7, 3, 4)]]
+    rows += [("u", 1, 99, None, None, None), ("w", 1, 2, "user", "a", 0.0), ("w", 2, 1, "user", "b", 0.0), ("w", 3, 2, "user", "c", 0.0)]
+    df = spark.createDataFrame(rows, "tree string, node long, parent long, role string, text string, score double").withColumn("leaf", F.lit(1))
+    got = {(r.tree, r.leaf): r for r in chat_format.format_trees(df).collect()}
+    paths = {("t", 4): [1, 2, 4], ("t", 6): [1, 2, 5, 6], ("t", 7): [1, 3, 7], ("u", 1): [1]}
+    assert got.keys() == paths.keys()
+    by = {(r[0], r[1]): r for r in rows}
+    for (tree, leaf), path in paths.items():
+        want = [(by[tree, n][3] or "", by[tree, n][4] or "") for n in path]
+        assert chat_format.read_turns(got[tree, leaf].formatted) == want
+        assert got[tree, leaf].score == pytest.approx(np.mean([by[tree, n][5] or 0 for n in path]))
+    assert [got["t", n].branch for n in (6, 7, 4)] == [1, 2, 3]
+    assert [(r.tree, r.leaf) for r in chat_format.format_trees(df, top_k=1).orderBy("tree").collect()] == [("t", 6), ("u", 1)]
+    assert chat_format.format_trees(df.limit(0)).count() == 0
+
+
+def test_conversations(spark, tmp_path):
+    rows = [(1, 2, "assistant", None), (1, 1, "user", "hi"), (1, 2, "assistant", "x"), (2, 0, "tool", ""), (2, None, "user", "first"), (None, 1, "user", "y"), (3, 0, "assistant", "\\### Assistant: "), (3, 0, "assistant", "\\### Assistant: ")]
+    rows += [(4, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(70)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("tree", F.lit(0)).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in chat_format.op1_reply_trees(spark, str(tmp_path)).collect()}
+    said = defaultdict(list)
+    for r in [*rows, (-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]:
+        said[r[0]].append((r[1] if r[1] is not None else -1, r[2], r[3] or ""))
+    assert got.keys() == said.keys()
+    for k, turns in said.items():
+        turns.sort()
+        loss = "".join(t for _, r, t in turns if r == "assistant")
+        want = (len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert (got[k].n_turns, got[k].turns_sha256, got[k].loss_chars, got[k].loss_sha256) == want
+
+
+def check_pieces(rows, texts, window=1024):
+    encode = packing.load_encoder()
+    want = Counter()
+    for doc_id, text in texts:
+        want[doc_id, tuple(encode(text or "")) + (0,)] += 1
+    by_doc, by_seq = defaultdict(list), defaultdict(list)
+    for r in rows:
+        assert zlib.crc32(np.array(r.tokens, dtype="<u4").tobytes()) == r.ids_crc32 and len(r.tokens) == r.length
+        by_doc[r.doc_id].append(r)
+        by_seq[r.sequence_id].append(r)
+    for seq in by_seq.values():
+        seq.sort(key=lambda r: r.offset)
+        assert [r.offset for r in seq] == list(np.cumsum([0] + [r.length for r in seq])[:-1])
+        n = sum(r.length for r in seq)
+        assert n <= window and n & (n - 1) == 0
+    assert sum(r.length for r in rows) == sum(len(k[1]) * n for k, n in want.items())
+    for doc_id in {k[0] for k in want}:
+        mine = [k[1] for k in want.elements() if k[0] == doc_id]
+        if len(mine) == 1:
+            pieces = sorted(by_doc[doc_id], key=lambda r: r.start)
+            assert [r.start for r in pieces] == list(np.cumsum([0] + [r.length for r in pieces])[:-1])
+            assert tuple(t for r in pieces for t in r.tokens) == mine[0] and {r.doc_tokens for r in pieces} == {len(mine[0])}
+
+
+def test_packing(docs, clashing, empty):
+    check_pieces(packing.pack(clashing, tokens=True).collect(), [(r[0], r[1]) for r in corpus()])
+    assert packing.pack(empty).count() == 0
+
+
+def brute_nearest(rows, every, k):
+    v = {i: np.array(x, dtype=np.float64) for i, x in rows}
+    out = {}
+    for q in v:
+        if q % every == 0:
+            d = sorted((float(np.sqrt(((v[q] - x) ** 2).sum())), i) for i, x in v.items() if i != q)[:k]
+            out[q] = [(i, pytest.approx(s, rel=1e-12)) for s, i in d]
+    return out
+
+
+def nearest_of(df, **how):
+    got = defaultdict(list)
+    for r in ann.nearest(df, **how).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+        assert r.rank == len(got[r.query_id])
+    return dict(got)
+
+
+def test_nearest_recall_and_exact_scores(spark):
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((900, 24)).astype(np.float32)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    want = brute_nearest(rows, 50, 10)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("raw", F.lit(1))
+    got = nearest_of(df, every=50)
+    assert got.keys() == want.keys()
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hits >= 0.9 * 10 * len(want)
+    exact = {q: dict((i, s) for i, s in brute_nearest(rows, 50, 899)[q]) for q in got}
+    assert all(exact[q][i] == s for q in got for i, s in got[q])
+
+
+def test_nearest_copies_ties_and_unsound_vectors(spark):
+    inf, nan = math.inf, math.nan
+    rows = [(i, [1.0, 2.0, 0.5]) for i in range(0, 300, 5)] + [(1000, [0.0, 1.0, 0.0]), (1001, [5.0, 5.0, 5.0])]
+    bad = [(2000, None), (2050, [0.0, 0.0, 0.0]), (2100, [1.0, None, 0.0]), (2150, [nan, 0.0, 1.0]), (2200, [inf, 0.0, 1.0]), (2250, []), (2300, [1.0, 2.0]), (None, [1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows + bad + rows[:3], "vec_id long, embedding array<double>")
+    assert nearest_of(df, every=50) == brute_nearest(rows, 50, 10)
+    few = spark.createDataFrame([(0, [1.0, 0.0]), (50, [-1.0, 0.0]), (3, [0.0, 2.0])], "vec_id long, embedding array<double>")
+    assert nearest_of(few, every=50) == brute_nearest([(0, [1.0, 0.0]), (50, [-1.0, 0.0]), (3, [0.0, 2.0])], 50, 10)
+    assert ann.nearest(df.limit(0)).count() == 0 and ann.nearest(df.where("vec_id = 2000")).count() == 0
+
+
+def test_sharding(docs, clashing, empty):
+    rows = sharding.shard_documents(clashing).collect()
+    counts = Counter(r.shard for r in rows)
+    assert len(rows) == len(corpus()) and set(counts) <= set(range(40)) and max(counts.values()) - min([counts.get(s, 0) for s in range(40)]) <= 1
+    for s, n in counts.items():
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(n))
+    text = {r[0]: (r[1] or "").encode() for r in corpus() if r[0] is not None}
+    assert all((r.size, r.text_crc32) == (len(text[r.doc_id]) + 16, zlib.crc32(text[r.doc_id])) for r in rows if r.doc_id is not None)
+    assert sorted(map(str, sharding.shard_documents(docs.repartition(7)).collect())) == sorted(map(str, rows))
+    assert sharding.shard_documents(empty).count() == 0
+
+
+def test_bounded_loads_with_a_hot_key_move_little(spark):
+    df = spark.range(6000).selectExpr("id", "case when id % 3 = 0 then 'hot' else cast(id as string) end as k")
+    at = {n: {r.id: r.shard for r in sharding.assign_shards(df, ["k"], n, slack=0.25, tie=["id"]).collect()} for n in (20, 21)}
+    for n, shards in at.items():
+        assert len(shards) == 6000 and max(Counter(shards.values()).values()) <= math.ceil(6000 * 1.25 / n)
+    assert sum(at[20][i] != at[21][i] for i in at[20]) < 0.5 * 6000
+
+
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def toxic_corpus(n=600):
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(n):
+        sentences = [words(rng, rng.randint(3, 12)) for _ in range(rng.randint(1, 12))]
+        bad = i % 6 == 0
+        if bad:
+            at = rng.randrange(len(sentences))
+            sentences[at] += rng.choice([" grumbler", " grumblerish", " nastyface"])
+        rows.append((i, ". ".join(sentences) + ".", "en", "s", 0))
+        labels.append((i, 1, int(bad)))
+    return rows, labels
+
+
+def test_toxicity(spark, docs, clashing, empty):
+    rows, labels = toxic_corpus()
+    df, lab = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels + [(None, 1, 1), (1, None, None), (7, 0, 5)], LABELS)
+    held = {i for i in range(len(rows)) if zlib.crc32(str(i).encode()) % 5 == 0}
+    flipped = spark.createDataFrame([(i, q, 1 - t if i in held else t) for i, q, t in labels], LABELS)
+    model = toxicity.fit(df, lab)
+    # labels of held-out documents change nothing
+    assert toxicity.fit(df, flipped).weights == model.weights
+    got = {r.doc_id: r for r in toxicity.score_toxicity(df, model, ["doc_id"]).collect()}
+    assert all(0 <= r.score <= 1 for r in got.values())
+    assert np.mean([(got[i].score >= 0.5) == labels[i][2] for i in held]) > 0.97
+    for i in held:
+        if labels[i][2] and got[i].score >= 0.5:
+            assert any(w in rows[i][1][s.start : s.end] for s in got[i].offending for w in ("grumbler", "nastyface"))
+    odd = toxicity.score_toxicity(docs, model, ["doc_id"]).collect()
+    assert len(odd) == len(corpus()) and all(0 <= r.score < 0.5 for r in odd)
+    none = toxicity.fit(df, lab.limit(0))
+    assert 0 < toxicity.score_toxicity(df, none, ["doc_id"]).head().score < 1
+    assert toxicity.score_toxicity(empty, model, ["doc_id"]).count() == 0
+
+
+def brute_syncmers(text, k=syncmers.K, s=syncmers.S):
+    """The windows that are anchors by definition, with a hash order given by the caller."""
+    w = text.split()
+    return [tuple(w[i : i + k]) for i in range(len(w) - k + 1)] if len(w) >= k else [tuple(w)] if w else []
+
+
+def test_syncmers(spark, docs, clashing, empty):
+    rows = [r for r in corpus()]
+    got = syncmers.fingerprint_documents(clashing).collect()
+    assert len(got) == len(rows)
+    order = sorted(((r[0] if r[0] is not None else -(2**63), r[1] or "") for r in rows), key=lambda x: (-x[0], x[1]))
+    want = Counter()
+    for (i, t), (_, n) in zip(order, order[1:] + order[:1]):
+        half = len(t) // 2
+        want[None if i == -(2**63) else i, len(t), hashlib.sha256((t[: len(t) - half] + n[:half]).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
+    by_text = defaultdict(set)
+    text = dict((r[0], r[1] or "") for r in rows if r[0] is not None)
+    for r in got:
+        if r.doc_id is not None:
+            by_text[text[r.doc_id]].add(r.fingerprint)
+    assert all(len(x) == 1 for x in by_text.values()) and by_text[""] == {""}
+    long = [r for r in got if r.doc_id is not None and r.doc_id < 60]
+    assert np.mean([r.near_edited for r in long]) > 0.25 and np.mean([r.near_next for r in long]) < 0.05
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+    assert syncmers.fingerprint_documents(empty).count() == 0
+
+
+def test_anchors_are_context_free_and_by_definition(spark):
+    rng = random.Random(8)
+    a, b, c = words(rng, 40), words(rng, 30), words(rng, 50)
+    df = spark.createDataFrame([(f"{a} {b}",), (f"{b}",), (f"{c} {b} {a}",), ("one two",), ("",), (None,)], "t string")
+    k, s = 5, 2
+    rows = [r.x for r in df.select(syncmers.anchors(F.col("t"), k, s).alias("x")).collect()]
+    sets = [{y.hash for y in x} for x in rows]
+    assert sets[1] <= sets[0] and sets[1] <= sets[2] and len(rows[3]) == 1 and not rows[4] and not rows[5]
+    pieces = {(x, y): h for x, y, h in ((r.x, r.y, r.h) for r in spark.createDataFrame([(w[i], w[i + 1]) for w in [a.split()] for i in range(39)], "x string, y string").select("x", "y", F.xxhash64(F.xxhash64("x"), F.xxhash64("y")).alias("h")).collect())}
+    w = a.split()
+    m = [pieces[w[i], w[i + 1]] for i in range(39)]
+    want = [i for i in range(36) if min(m[i : i + 4]) in (m[i], m[i + 3])]
+    assert [y.pos for y in spark.createDataFrame([(a,)], "t string").select(syncmers.anchors(F.col("t"), k, s).alias("x")).head().x] == want
+    shift = spark.createDataFrame([(f"{a} {b}", f"{c} {a}")], "p string, q string").select(syncmers.best_shift(syncmers.anchors(F.col("p")), syncmers.anchors(F.col("q"))).alias("d")).head().d
+    assert shift == 50
+
+
+def brute_targets(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[i % 3] for i, s in enumerate(names)}
+    target, full = {s: 0.0 for s in names}, set()
+    left = share * sum(sizes.values())
+    while left > 1e-9 and len(full) < len(names):
+        total = sum(weight[s] for s in names if s not in full)
+        for s in names:
+            if s not in full:
+                target[s] += left * weight[s] / total
+        left = 0.0
+        for s in names:
+            if target[s] >= most * sizes[s] - 1e-12:
+                left += max(0.0, target[s] - most * sizes[s])
+                target[s] = most * sizes[s]
+                full.add(s)
+    return target
+
+
+def test_targets_match_resharing(spark):
+    for seed in range(4):
+        rng = random.Random(seed)
+        sizes = {f"s{i}": rng.choice([0, 1, 10, 100, 5000]) for i in range(9)} | {None: 50, "é": 7}
+        df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long")
+        got = {r.source: r.target for r in mixing.source_targets(df).collect()}
+        assert got == {s: pytest.approx(t, abs=1e-6) for s, t in brute_targets(sizes).items()}
+
+
+def test_mixing(spark, docs, clashing, empty):
+    rng = random.Random(9)
+    rows = [(i, words(rng, rng.choice([1, 5, 40, 80])), "en", "hot" if i % 3 == 0 else f"s{i % 7}", 0) for i in range(1500)] + [(5000, None, "en", "hot", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = mixing.mix(df.repartition(3)).collect()
+    again = mixing.mix(df.repartition(5)).collect()
+    assert Counter(got) == Counter(again) and len(got) == len(rows)
+    totals, taken, target = Counter(), Counter(), {}
+    for r in got:
+        totals[r.source] += r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert r.taken <= 2 * r.size and r.taken == r.copies * r.size
+    assert target == {s: pytest.approx(t) for s, t in brute_targets(dict(totals)).items()}
+    assert all(abs(taken[s] - target[s]) <= 80 for s in totals)
+    odd = mixing.mix_rows(clashing)
+    assert odd.columns == clashing.columns and odd.count() > 0
+    assert mixing.mix(docs).count() == len(corpus()) and mixing.mix(empty).count() == 0 and mixing.mix_rows(empty).count() == 0
+
+
+def test_rounding_is_a_tree_and_unbiased(spark):
+    rows = spark.range(3000).selectExpr("cast(id as string) as _key", "'g' as grp", "1L as size", "0.3D as want")
+    total = Counter()
+    for seed in range(3):
+        got = mixing.pivotal_copies(rows, "grp", seed, chunk=64).collect()
+        assert abs(sum(r.copies for r in got) - 900) <= 1
+        total.update(r._key for r in got if r.copies)
+    assert 1000 < len(total) < 2200
+
+
+def spans_of(rows):
+    return {r.doc_id: [(s.start, s.end, s.kind) for s in r.secrets] for r in rows}
+
+
+def test_secrets(spark, docs, clashing, empty):
+    rng = random.Random(3)
+    hexes = lambda abc, n: "".join(rng.choices(abc, k=n))
+    rows = [(i, f'{words(rng, 30)} token = "{hexes("0123456789abcdef", 40)}" é {words(rng, 5)}', "en", "s", 0) for i in range(120)]
+    rows += [(200 + i, f"{words(rng, 20)} AKIA{hexes('ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 16)} {words(rng, 4)}", "en", "s", 0) for i in range(60)]
+    rows += [(400, f"bare {hexes('0123456789abcdef', 20)}z", "en", "s", 0), (401, "see http://www.example.com/section-12/page_3 or mail me42", "en", "s", 0)]
+    rows += [(500 + i, words(rng, 300), "en", "s", 0) for i in range(60)]
+    got = spans_of(secret_scan.find_secrets(spark.createDataFrame(rows, DOCS), ["doc_id"]).collect())
+    for i, text, *_ in rows:
+        assert [x for x in got[i] if x[2] != "format"] == brute_base(text)
+    assert not [i for i in got for x in got[i] if x[2] == "format" and i != 400] and got[401] == []
+    odd = spans_of(secret_scan.find_secrets(docs, ["doc_id"]).collect())
+    assert [x[2] for x in odd[303]] == ["assign", "hex"] and all(not v for k, v in odd.items() if k != 303)
+    masked = secret_scan.redact(clashing)
+    assert masked.columns == clashing.columns
+    out = {r.doc_id: r for r in masked.collect()}
+    assert out[303].text == "[secret]\" and more" and out[303].n_chars == len(out[303].text) and out[300].text is None and out[3].text == corpus()[3][1]
+    assert secret_scan.redact(empty).count() == 0
+
+
+def brute_classes(rows):
+    """Smallest id reachable over fingerprints of 3 or fewer differing bits."""
+    fps = [brute_simhash(t or "") for _, t in rows]
+    label = list(range(len(rows)))
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 3:
+                a, b = find(i), find(j)
+                label[max(a, b)] = min(a, b)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(least.get(find(i), d), d)
+    return Counter((d, fps[i], least.get(find(i))) for i, (d, _) in enumerate(rows))
+
+
+def test_near_classes(docs, clashing, empty):
+    rows = [(r[0], r[1]) for r in corpus()]
+    got = simhash.near_classes(clashing).collect()
+    assert Counter((r.doc_id, r.fp % 2**64, r.component_id) for r in got) == brute_classes(rows)
+    assert simhash.near_classes(empty).count() == 0
+    kept = simhash.near_dedup(clashing)
+    assert kept.columns == clashing.columns
+    want = {c for _, _, c in brute_classes([r for r in rows if r[0] is not None])}
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(want) + Counter({None: 2})
+
+
+def test_ball_links_join_exactly_the_near(spark):
+    rng = random.Random(6)
+    fps = {rng.getrandbits(64) for _ in range(150)} | {0, 2**64 - 1}
+    for base in list(fps)[:40]:
+        for _ in range(6):
+            base ^= sum({1 << rng.randrange(64) for _ in range(rng.randint(1, 5))})
+            fps.add(base)
+    df = spark.createDataFrame([(simhash._signed(x),) for x in fps], "fp long")
+    links = [(r.fp % 2**64, r.hub % 2**64) for r in simhash.near_links(df).collect()]
+    assert all((a ^ b).bit_count() <= 3 for a, b in links)
+
+    def classes(pairs):
+        label = {x: x for x in fps}
+        find = lambda x: x if label[x] == x else find(label[x])
+        for a, b in pairs:
+            a, b = find(a), find(b)
+            label[max(a, b)] = min(a, b)
+        return {x: find(x) for x in fps}
+
+    near = [(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 3]
+    assert near and classes(links) == classes(near)
+
+
+def brute_verdict(url):
+    if url is None or "://" not in url:
+        host = path = ""
+    else:
+        rest = url.split("://", 1)[1]
+        end = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:end])
+        tail = rest[end:]
+        path = tail[: min([tail.find(c) for c in "?#" if c in tail], default=len(tail))]
+    best = None
+    for verdict, rule in url_filter.RULES:
+        h, _, p = rule.partition("/")
+        if (host == h or host.endswith("." + h)) and path.startswith("/" + p) and (best is None or len(rule) > len(best[1])):
+            best = (verdict, rule)
+    return host, path, best
+
+
+URLS = ["http://A.Example.NET/en/1", "https://x.net", "https://x.net/", "http://example.com/de/x?y", "http://b.example.com/de", "http://org/fr/", "http://evilorg/fr/", "a://b://c/d", "no scheme", "", None, "http://É.NET/x#y", "http://h?q://z", "http://example.net:80/en/", "http://u.net/\nx", "://net/"]
+
+
+def test_urls(spark):
+    df = spark.createDataFrame([(i, u, None) for i, u in enumerate(URLS * 2)], "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("host", "rule", "_node", "src")})
+    out = url_filter.judge_urls(df, edges=url_filter.link_edges(df))
+    assert out.columns == ["page_id", "url", "html", "_node", "src", "host", "path", "rule", "verdict"]
+    got = {r.page_id: r for r in out.collect()}
+    for i, u in enumerate(URLS * 2):
+        host, path, best = brute_verdict(u)
+        assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, best and best[1], best[0] if best else "allow")
+    assert url_filter.judge_urls(df.limit(0), edges=url_filter.link_edges(df.limit(0))).count() == 0
+
+
+def test_decisions_spread_over_links(spark):
+    link = '<link rel="canonical" href="%s">'
+    go = '<meta http-equiv="refresh" content="0; url=%s">'
+    rows = [
+        (1, "http://a.com/x", link % "https://b.com/y"), (2, "http://b.com/y#f", go % "http://bad.net/z"), (3, "http://bad.net/z", ""), (4, "http://c.com/", "plain"),
+        (5, "http://d.com/1", link % "/2"), (6, "http://d.com/2", link % "http://e.org/fr/1"), (7, "http://e.org/fr/1", link % "http://f.net/"), (8, "http://f.net/", ""), (9, "https://a.com/x", "canonical"),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(df, edges=url_filter.link_edges(df)).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "allow", 8: "block", 9: "block"}
+
+
+def test_pipeline(spark, docs, clashing, empty, tmp_path):
+    sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+    import corpus_pipeline
+
+    rows, labels = toxic_corpus(240)
+    rows = [(1000 + i, t, *rest) for i, t, *rest in rows]
+    spark.createDataFrame([(1000 + i, q, t) for i, q, t in labels], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    everything = clashing.unionByName(spark.createDataFrame(rows, DOCS), allowMissingColumns=True)
+    everything.write.parquet(f"{tmp_path}/documents.parquet")
+    at = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = corpus_pipeline.shared_table(stage(spark, at, str(tmp_path)), name)
+        assert at.columns == everything.columns
+        seen[name] = Counter(r.doc_id for r in at.select("doc_id").collect())
+    clean = {r[0] for r in corpus()} | {1000 + i for i, _, t in labels if not t}
+    assert set(seen["toxicity"]) >= clean - {None} and sum(1000 + i in seen["toxicity"] for i, _, t in labels if t) <= 8
+    assert 101 not in seen["simhash_dedup"] and 0 in seen["simhash_dedup"] and max(n for d, n in seen["simhash_dedup"].items() if d is not None) == 1
+    assert seen["secrets"] == seen["simhash_dedup"]
+    last = corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path))
+    assert Counter(r.doc_id for r in last.where("start = 0").collect()) == seen["mixing"]
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, empty, str(tmp_path)).count()
+
+
+def test_registry():
+    assert {k.split("_")[0] for k in registry.QUERIES} == {f"op{i}" for i in range(1, 11)} and set(registry.ORACLES) <= set(registry.QUERIES)
+    json.dumps(registry.ORACLES)

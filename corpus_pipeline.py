@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import shared_table, table
+from graphloom.llm.common import shared_table, shield, table
 from graphloom.llm.mixing import mix_rows
 from graphloom.llm.packing import pack
 from graphloom.llm.secret_scan import redact
@@ -19,8 +19,9 @@ from graphloom.llm.toxicity import fit, score_toxicity
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose noisy-or score is 0.5 or more; null and empty texts stay."""
-    model = fit(docs, table(spark, sf_dir, "labels"))
-    return score_toxicity(docs, model, docs.columns).where("score < 0.5 or text is null").select(*docs.columns)
+    model = fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    docs, restored = shield(docs, "text")
+    return score_toxicity(docs, model, docs.columns).where("score < 0.5 or text is null").select(*restored)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from .options import Options
 from .plans.lower import Lowering
 from .plans.model import Plan, Serialize
 from .rml.translate import rml_to_plan
+from .shexml.translate import shexml_to_plan
 
 
 def session() -> SparkSession:
@@ -60,6 +61,7 @@ def run(plan: Plan | str | Mapping, options: Options | None = None, spark: Spark
 
 def translate(text: str, language: str = "rml") -> Plan:
     """A mapping document as a plan."""
-    if language.lower() != "rml":
+    made = {"rml": rml_to_plan, "shexml": shexml_to_plan}.get(language.lower())
+    if made is None:
         raise UnsupportedPlanError(f"mapping language {language!r}")
-    return rml_to_plan(text)
+    return made(text)

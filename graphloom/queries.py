@@ -379,6 +379,24 @@ def rml_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statements(translate(_RML % {"dir": sf_dir}), Options(deduplicate=True), spark)
 
 
+_SHEXML = """PREFIX ex: <http://ex.org/>
+PREFIX xsd: <http://www.w3.org/2001/XMLSchema#>
+SOURCE suppliers <%(dir)s/supplier.parquet>
+ITERATOR rows <parquet> { FIELD id <s_suppkey> FIELD name <s_name> FIELD nation <s_nationkey> }
+EXPRESSION suppliers <suppliers.rows>
+ex:Supplier ex:[suppliers.id] { a ex:Supplier ; ex:name [suppliers.name] @en ; ex:code [suppliers.id] xsd:integer ; ex:in @ex:Nation ; }
+ex:places [[ ex:Nation ex:[suppliers.nation] { ex:kind "nation" ; } ]]
+"""
+
+
+@_query(
+    "shexml_end_to_end",
+    f"""SELECT unnest(['<{EX}' || s_suppkey || '> <{TYPE}> <{EX}Supplier> .', '<{EX}' || s_suppkey || '> <{EX}name> "' || s_name || '"@en .', '<{EX}' || s_suppkey || '> <{EX}code> "' || s_suppkey || '"^^<{XSD}integer> .', '<{EX}' || s_suppkey || '> <{EX}in> <{EX}' || s_nationkey || '> .', '<{EX}' || s_nationkey || '> <{EX}kind> "nation" <{EX}places> .']) AS line FROM supplier""",
+)
+def shexml_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statements(translate(_SHEXML % {"dir": sf_dir}, "shexml"), Options(typed_literals=True), spark)
+
+
 def order_graph(sf_dir: str) -> Plan:
     """Orders, their customers and both kinds' labels in named graphs; classes are stated in every branch."""
     plan = Plan()

@@ -286,6 +286,31 @@ def test_bad_rml(change):
         translate(MAPPING.replace(*change))
 
 
+SHEXML = """PREFIX : <http://ex/>
+SOURCE a <a.csv>  # two files with the same rows
+SOURCE b <b.csv>
+ITERATOR it <csvperrow> {
+  FIELD id <ID>
+  FIELD name <Full name>
+}
+EXPRESSION people <a.it UNION b.it>
+:Person :[people.id] { :name [people.name] ; :knows :[people.name] }
+"""
+
+
+def test_shexml(spark, tmp_path):
+    csv(tmp_path, "a.csv", "ID,Full name\n1,A B\n")
+    csv(tmp_path, "b.csv", "ID,Full name\n2,C\n")
+    got = lines(statements(translate(SHEXML, "shexml"), Options(working_dir_hint=str(tmp_path)), spark))
+    assert got == sorted(x for i, n, e in ((1, "A B", "A%20B"), (2, "C", "C")) for x in (f'<http://ex/{i}> <http://ex/name> "{n}" .', f"<http://ex/{i}> <http://ex/knows> <http://ex/{e}> ."))
+
+
+@pytest.mark.parametrize("change", [("UNION", "JOIN"), ("a.it", "c.it"), (":Person :[", ":Person no:["), ("csvperrow", "xpath: /a"), ("people.name] ;", "others.name] ;"), ("FIELD id", "ITERATOR id"), ("}\nEXPRESSION", "EXPRESSION")])
+def test_bad_shexml(change):
+    with pytest.raises(PlanError):
+        translate(SHEXML.replace(*change), "shexml")
+
+
 def test_cli(spark, tmp_path, capsys):
     from graphloom.cli import main
 

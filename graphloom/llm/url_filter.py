@@ -20,6 +20,7 @@ from .components import connected_components
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
 _CANONICAL = r"""(?i)<link[^>]{0,500}?rel=["']?canonical["']?[^>]{0,500}?href=["']([^"'>]+)["']"""
+_CANONICAL_LATE = r"""(?i)<link[^>]{0,500}?href=["']([^"'>]+)["'][^>]{0,500}?rel=["']?canonical"""
 _REFRESH = r"""(?i)<meta[^>]{0,500}?http-equiv=["']?refresh["']?[^>]{0,500}?url=([^"'>\x20]+)["']"""
 
 
@@ -55,7 +56,7 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Co
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(src, dst) of every page whose HTML names a canonical URL or a redirect target, both as URL nodes."""
     page = F.col(url)
-    found = F.array(F.regexp_extract(html, _CANONICAL, 1), F.regexp_extract(html, _REFRESH, 1))
+    found = F.array(*[F.regexp_extract(html, p, 1) for p in (_CANONICAL, _CANONICAL_LATE, _REFRESH)])
     out = pages.where(F.col(html).rlike(r"(?i)canonical|refresh")).select(canonical_url(page).alias("src"), page.alias("_base"), F.explode(found).alias("_to"))
     absolute = F.when(F.col("_to").startswith("/") & ~F.col("_to").startswith("//"), F.concat(F.lit("http://"), host_of(F.col("_base")), F.col("_to"))).otherwise(F.col("_to"))
     out = out.where("_to != ''").select("src", canonical_url(absolute).alias("dst"))
@@ -107,6 +108,7 @@ WITH RECURSIVE cut AS (
 ), links AS (
   SELECT host || tail AS src, unnest([
     regexp_extract(html, '(?i)<link[^>]{0,500}?rel=["'']?canonical["'']?[^>]{0,500}?href=["'']([^"''>]+)["'']', 1),
+    regexp_extract(html, '(?i)<link[^>]{0,500}?href=["'']([^"''>]+)["''][^>]{0,500}?rel=["'']?canonical', 1),
     regexp_extract(html, '(?i)<meta[^>]{0,500}?http-equiv=["'']?refresh["'']?[^>]{0,500}?url=([^"''> ]+)["'']', 1)]) AS target, host
   FROM part WHERE known
 ), edge AS (

@@ -85,12 +85,23 @@ def test_fingerprint(words, sep):
 
 def test_axes_are_nearest():
     r = np.array([[0.1, -0.9, 0.3, 0.2]], dtype=np.float32)
-    assert ann.axes(r, 3).tolist() == [[3, 4, 6]]
+    assert ann.axes(r, 3)[0].tolist() == [[3, 4, 6]]
     x = np.random.default_rng(1).standard_normal((50, 24))
     y = ann.rotate(x, 0, 0)
     assert y.shape == (50, 32) and np.allclose(np.linalg.norm(y, axis=1), np.linalg.norm(x, axis=1), rtol=1e-5)
 
 
+def test_buckets_of_several_axes_are_the_likeliest():
+    x = np.random.default_rng(2).standard_normal((20, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = ann.buckets(x, 3, 5, 2, 0)
+    a, b = ann.rotate(x, 6, 0), ann.rotate(x, 7, 0)
+    for i in range(20):
+        side = lambda r: {2 * j + (s < 0): s * r[i, j] for j in range(8) for s in (1, -1)}
+        both = sorted(((-p - q, 16 * k + m) for k, p in side(a).items() for m, q in side(b).items()))
+        assert set(got[i]) == {k for _, k in both[:5]} and got[i][0] == both[0][1]
+
+
 def test_arcs_are_placed_clockwise():
     runs = sharding.place_arcs([5, 0, 2], [0, 1, 0], [4, 3])
     assert runs == [[(0, 0, 0), (4, 1, 0)], [], [(0, 1, 1)]]

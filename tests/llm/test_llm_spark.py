@@ -168,6 +168,15 @@ def test_nearest_recall_and_exact_scores(spark):
     assert all(exact[q][i] == s for q in got for i, s in got[q])
 
 
+def test_nearest_in_clusters_with_smaller_buckets(spark):
+    rng = np.random.default_rng(1)
+    x = (np.repeat(rng.standard_normal((40, 16)), 30, axis=0) + 0.15 * rng.standard_normal((1200, 16))).astype(np.float32)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    want = brute_nearest(rows, 100, 5)
+    got = nearest_of(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=5, tables=8, probes=12, axes_per_hash=2)
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.9 * 5 * len(want)
+
+
 def test_nearest_copies_ties_and_unsound_vectors(spark):
     inf, nan = math.inf, math.nan
     rows = [(i, [1.0, 2.0, 0.5]) for i in range(0, 300, 5)] + [(1000, [0.0, 1.0, 0.0]), (1001, [5.0, 5.0, 5.0])]
@@ -456,7 +465,7 @@ def test_decisions_spread_over_links(spark):
     go = '<meta http-equiv="refresh" content="0; url=%s">'
     rows = [
         (1, "http://a.com/x", link % "https://b.com/y"), (2, "http://b.com/y#f", go % "http://bad.net/z"), (3, "http://bad.net/z", ""), (4, "http://c.com/", "plain"),
-        (5, "http://d.com/1", link % "/2"), (6, "http://d.com/2", link % "http://e.org/fr/1"), (7, "http://e.org/fr/1", link % "http://f.net/"), (8, "http://f.net/", ""), (9, "https://a.com/x", "canonical"),
+        (5, "http://d.com/1", '<LINK href="/2" data-x rel=canonical>'), (6, "http://d.com/2", link % "http://e.org/fr/1"), (7, "http://e.org/fr/1", link % "http://f.net/"), (8, "http://f.net/", ""), (9, "https://a.com/x", "canonical"),
     ]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.verdict for r in url_filter.judge_urls(df, edges=url_filter.link_edges(df)).collect()}

@@ -13,16 +13,22 @@ from .iri import always_absolute, resolve, uri_encode
 from .templates import Part, parse_template
 
 IRI, LITERAL, BLANK, STRING = "iri", "lit", "blank", "str"
+ANY, PLAIN, UNRESERVED = "any", "plain", "unreserved"
 
 
 @dataclass(frozen=True)
 class Term:
-    """A column with its RDF term kind; literals may have a datatype or language column."""
+    """A column with its RDF term kind; literals may have a datatype or language column.
+
+    characters: UNRESERVED if percent-encoding leaves every value alone, PLAIN if at least
+    no character needs an escape in a literal, else ANY.
+    """
 
     column: Column
     kind: str = STRING
     datatype: Column | None = None
     language: Column | None = None
+    characters: str = ANY
 
 
 @dataclass(frozen=True)
@@ -60,7 +66,8 @@ def _constant(c: Compiler, spec: Mapping) -> Term:
 
 
 def _reference(c: Compiler, spec: Mapping) -> Term:
-    return Term(c.name(spec["value"]))
+    column = c.name(spec["value"])
+    return Term(column, characters=c.scope[spec["value"]].characters)
 
 
 def _template(c: Compiler, spec: Mapping) -> Term:
@@ -79,7 +86,8 @@ def _template_functions(c: Compiler, spec: Mapping) -> Term:
 
 
 def _uri_encode(c: Compiler, spec: Mapping) -> Term:
-    return Term(uri_encode(c.text(spec["inner_function"])))
+    inner = c.compile(spec["inner_function"])
+    return Term(inner.column if inner.characters == UNRESERVED else uri_encode(inner.column), characters=UNRESERVED if inner.characters == UNRESERVED else PLAIN)
 
 
 def _fixed_text(spec: Mapping) -> list[str | None] | None:
@@ -109,7 +117,8 @@ def _blank(c: Compiler, spec: Mapping) -> Term:
 
 def _literal(c: Compiler, spec: Mapping) -> Term:
     extra = {k: c.text(spec[f]) for k, f in (("datatype", "dtype_function"), ("language", "langtype_function")) if spec.get(f)}
-    return Term(c.text(spec["inner_function"]), LITERAL, **extra)
+    inner = c.compile(spec["inner_function"])
+    return Term(inner.column, LITERAL, **extra, characters=inner.characters)
 
 
 def _args(c: Compiler, spec: Mapping) -> list[Column]:

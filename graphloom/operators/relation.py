@@ -24,12 +24,12 @@ class Relation:
     scope: Mapping[str, Term]
 
 
-def from_read(df: DataFrame, names: list[str], tag: str) -> Relation:
+def from_read(df: DataFrame, names: list[str], characters: list[str], tag: str) -> Relation:
     """Physical columns get names that no other relation has; of equal logical names the first is bound."""
     df = df.toDF(*[f"{tag}_{i}" for i in range(len(names))])
     scope: dict[str, Term] = {}
     for i, name in enumerate(names):
-        scope.setdefault(name, Term(F.col(f"{tag}_{i}")))
+        scope.setdefault(name, Term(F.col(f"{tag}_{i}"), characters=characters[i]))
     return Relation(df, scope)
 
 
@@ -72,6 +72,6 @@ def join(left: Relation, right: Relation, node: Join, tag: str) -> Relation:
     l_df = left.df.select(*[t.column.alias(names["l"][k]) for k, t in left.scope.items()])
     r_df = right.df.select(*[t.column.alias(names["r"][k]) for k, t in right.scope.items()])
     on = [F.col(names["l"][a]) == F.col(names["r"][b]) for a, b in node.pairs]
-    term = lambda s, k, t: Term(F.col(names[s][k]), t.kind)
+    term = lambda s, k, t: Term(F.col(names[s][k]), t.kind, characters=t.characters)
     scope = {k: term("l", k, t) for k, t in left.scope.items()} | prefixed({k: term("r", k, t) for k, t in right.scope.items()})
     return Relation(l_df.join(r_df, on, "inner"), scope)

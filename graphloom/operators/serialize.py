@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import PlanError
 from ..functions.templates import Part, parse_statements, terms_of
-from ..functions.terms import BLANK, IRI, LITERAL, Term
+from ..functions.terms import ANY, BLANK, IRI, LITERAL, Term
 from ..options import Options
 from ..plans.model import Serialize
 from .relation import Relation
@@ -27,7 +27,7 @@ def render(term: Term, options: Options) -> Column:
         return F.concat(F.lit("_:"), c)
     if term.kind != LITERAL:
         return c
-    if options.escape_literals:
+    if options.escape_literals and term.characters == ANY:
         for old, new in _ESCAPES:
             c = F.replace(c, F.lit(old), F.lit(new))
     out = F.concat(F.lit('"'), c, F.lit('"'))
@@ -70,8 +70,8 @@ def explode(df: DataFrame, columns: Sequence[Column], name: str) -> list[DataFra
     out = []
     for at in range(0, len(columns), CHUNK):
         chunk = columns[at : at + CHUNK]
-        made = df.select(F.explode(F.array(*chunk)).alias(name)) if len(chunk) > 1 else df.select(chunk[0].alias(name))
-        out.append(made.where(F.col(name).isNotNull()))
+        # a filter on a generated column isn't pushed below, where it would compute the statement again
+        out.append(df.select(F.explode(F.array(*chunk)).alias(name)).where(F.col(name).isNotNull()))
     return out
 
 

@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import SourceError, UnsupportedPlanError
+from ..functions.terms import ANY, PLAIN, UNRESERVED
 from ..options import Options
 from ..plans.model import Source
 from .paths import find
 
-Read = tuple[DataFrame, list[str]]
+#: The frame, its names, and what characters each column can hold.
+Read = tuple[DataFrame, list[str], list[str]]
 
 #: No quoted or unquoted field is null; blanks and backslashes are kept; a row of another length is an error.
 _CSV = {"quote": '"', "escape": '"', "mode": "FAILFAST", "nullValue": "\x01", "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "inferSchema": "false"}
@@ -28,20 +30,26 @@ def _csv(spark: SparkSession, source: Source, options: Options, stream: bool) ->
     how = {**_CSV, "multiLine": str(options.multiline).lower(), **dict(source.options)}
     head = spark.read.options(**how, header="false").csv(path).head()
     if head is None:
-        return spark.createDataFrame([], T.StructType([])), []
+        return spark.createDataFrame([], T.StructType([])), [], []
     names = ["" if x is None else x for x in head]
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
     reader = (spark.readStream if stream else spark.read).schema(schema).options(**how, header="true")
     df = reader.csv(path)
     # an empty field is a value like any other
-    return df.select(*[F.coalesce(c, F.lit("")).alias(c) for c in df.columns]), names
+    return df.select(*[F.coalesce(c, F.lit("")).alias(c) for c in df.columns]), names, [ANY] * len(names)
+
+
+def _characters(kind: T.DataType) -> str:
+    if isinstance(kind, (T.IntegralType, T.BooleanType, T.DateType)):
+        return UNRESERVED
+    return PLAIN if isinstance(kind, (T.FractionalType, T.TimestampType, T.TimestampNTZType)) else ANY
 
 
 def _typed(df: DataFrame) -> Read:
     """Typed columns in their canonical text; nulls stay, and their statements are left out."""
-    names = df.columns
+    names, plain = df.columns, [_characters(f.dataType) for f in df.schema]
     df = df.toDF(*[f"c{i}" for i in range(len(names))])
-    return df.select(*[F.col(c).cast("string").alias(c) for c in df.columns]), names
+    return df.select(*[F.col(c).cast("string").alias(c) for c in df.columns]), names, plain
 
 
 def _file(format: str) -> Callable[[SparkSession, Source, Options, bool], Read]:

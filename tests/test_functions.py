@@ -92,3 +92,8 @@ def test_bad_functions(spark, spec, error):
     with pytest.raises(error):
         compiler().compile(spec)
 
+
+def test_unreserved_columns_are_not_encoded():
+    scope = {"n": Term(F.col("n"), characters="unreserved"), "t": Term(F.col("t"))}
+    made = lambda n: str(Compiler(scope).compile({"type": "UriEncode", "inner_function": {"type": "Reference", "value": n}}).column)
+    assert "url_encode" in made("t") and "url_encode" not in made("n")

@@ -21,7 +21,8 @@ class Term:
     """A column with its RDF term kind; literals may have a datatype or language column.
 
     characters: UNRESERVED if percent-encoding leaves every value alone, PLAIN if at least
-    no character needs an escape in a literal, else ANY.
+    no character needs an escape in a literal, else ANY. stored: the physical column, in its
+    own type, whose text this is.
     """
 
     column: Column
@@ -29,6 +30,7 @@ class Term:
     datatype: Column | None = None
     language: Column | None = None
     characters: str = ANY
+    stored: str | None = None
 
 
 @dataclass(frozen=True)

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import PlanError, UnsupportedPlanError
 from ..functions.terms import Compiler, Term
@@ -29,10 +30,16 @@ def from_read(df: DataFrame, names: list[str], characters: list[str], tag: str)
     df = df.toDF(*[f"{tag}_{i}" for i in range(len(names))])
     scope: dict[str, Term] = {}
     for i, name in enumerate(names):
-        scope.setdefault(name, Term(F.col(f"{tag}_{i}"), characters=characters[i]))
+        scope.setdefault(name, stored(df, f"{tag}_{i}", characters=characters[i]))
     return Relation(df, scope)
 
 
+def stored(df: DataFrame, column: str, **more) -> Term:
+    """The text of a physical column."""
+    text = F.col(column) if isinstance(df.schema[column].dataType, T.StringType) else F.col(column).cast("string")
+    return Term(text, stored=column, **more)
+
+
 def project(r: Relation, node: Project) -> Relation:
     missing = [a for a in node.attributes if a not in r.scope]
     if missing:
@@ -69,9 +76,16 @@ def join(left: Relation, right: Relation, node: Join, tag: str) -> Relation:
                 raise PlanError(f"no join column {pair[side]!r} on the {'right' if side else 'left'}")
     # only what is in scope goes on; fresh names on both sides make self-joins unambiguous
     names = {s: {k: f"{tag}{s}_{i}" for i, k in enumerate(r.scope)} for s, r in (("l", left), ("r", right))}
-    l_df = left.df.select(*[t.column.alias(names["l"][k]) for k, t in left.scope.items()])
-    r_df = right.df.select(*[t.column.alias(names["r"][k]) for k, t in right.scope.items()])
-    on = [F.col(names["l"][a]) == F.col(names["r"][b]) for a, b in node.pairs]
-    term = lambda s, k, t: Term(F.col(names[s][k]), t.kind, characters=t.characters)
+    # columns are shuffled in their own types and become text afterwards
+    carry = lambda r, s: r.df.select(*[(F.col(t.stored) if t.stored else t.column).alias(names[s][k]) for k, t in r.scope.items()])
+    l_df, r_df = carry(left, "l"), carry(right, "r")
+    frames = {"l": l_df, "r": r_df}
+    term = lambda s, k, t: stored(frames[s], names[s][k], kind=t.kind, characters=t.characters)
+    on = []
+    for a, b in node.pairs:
+        x, y = names["l"][a], names["r"][b]
+        same = l_df.schema[x].dataType == r_df.schema[y].dataType and isinstance(l_df.schema[x].dataType, (T.IntegralType, T.BooleanType, T.DateType, T.StringType))
+        # equal text, which for these types is equal value
+        on.append(F.col(x) == F.col(y) if same else term("l", a, left.scope[a]).column == term("r", b, right.scope[b]).column)
     scope = {k: term("l", k, t) for k, t in left.scope.items()} | prefixed({k: term("r", k, t) for k, t in right.scope.items()})
     return Relation(l_df.join(r_df, on, "inner"), scope)

@@ -18,7 +18,7 @@ from ..options import Options
 from ..plans.model import Source
 from .paths import find
 
-#: The frame, its names, and what characters each column can hold.
+#: The frame (columns in their own types), its names, and what characters the text of each column can hold.
 Read = tuple[DataFrame, list[str], list[str]]
 
 #: No quoted or unquoted field is null; blanks and backslashes are kept; a row of another length is an error.
@@ -46,10 +46,9 @@ def _characters(kind: T.DataType) -> str:
 
 
 def _typed(df: DataFrame) -> Read:
-    """Typed columns in their canonical text; nulls stay, and their statements are left out."""
+    """Columns keep their types, and are cast to canonical text where they are used; nulls stay, and their statements are left out."""
     names, plain = df.columns, [_characters(f.dataType) for f in df.schema]
-    df = df.toDF(*[f"c{i}" for i in range(len(names))])
-    return df.select(*[F.col(c).cast("string").alias(c) for c in df.columns]), names, plain
+    return df.toDF(*[f"c{i}" for i in range(len(names))]), names, plain
 
 
 def _file(format: str) -> Callable[[SparkSession, Source, Options, bool], Read]:

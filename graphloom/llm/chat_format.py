@@ -115,13 +115,14 @@ def format_trees(messages: DataFrame, top_k: int | None = None) -> DataFrame:
     """
     paths = root_to_leaf_paths(messages)
     said = messages.select("tree", "node", *(F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    # branches are ranked without their texts, which are shuffled to their path and no further
+    scored = paths.join(said.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.avg("score").alias("score"))
+    scored = scored.withColumn("branch", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
     if top_k is not None:
-        scored = paths.join(said.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.avg("score").alias("_s"))
-        best = scored.withColumn("_b", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("_s"), "leaf"))).where(F.col("_b") <= top_k)
-        paths = paths.join(best.select("tree", "leaf"), ["tree", "leaf"], "left_semi")
+        scored = scored.where(F.col("branch") <= top_k)
+        paths = paths.join(scored.select("tree", "leaf"), ["tree", "leaf"], "left_semi")
     turn = F.struct((-F.col("dist")).alias("at"), "role", "text")
-    whole = paths.join(said, ["tree", "node"]).groupBy("tree", "leaf").agg(F.avg("score").alias("score"), F.sort_array(F.collect_list(turn)).alias("_turns"))
-    whole = whole.withColumn("branch", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
+    whole = paths.join(said, ["tree", "node"]).groupBy("tree", "leaf").agg(F.sort_array(F.collect_list(turn)).alias("_turns")).join(scored, ["tree", "leaf"])
     schema = ", ".join(f"{c} {whole.schema[c].dataType.simpleString()}" for c in ("tree", "leaf", "score", "branch"))
     return whole.select("tree", "leaf", "score", "branch", "_turns").mapInPandas(_format_rows, f"{schema}, {FORMATTED}")
 

@@ -46,11 +46,25 @@ def rotate(unit: np.ndarray, which: int, seed: int) -> np.ndarray:
     return x
 
 
-def axes(rotated: np.ndarray, count: int) -> np.ndarray:
-    """The ``count`` nearest signed axes of each row, nearest first: 2 i for +i, 2 i + 1 for -i."""
-    near = np.empty((len(rotated), 2 * rotated.shape[1]), dtype=np.float32)
-    near[:, 0::2], near[:, 1::2] = -rotated, rotated
-    return np.argsort(near, axis=1, kind="stable")[:, :count]
+def axes(rotated: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``count`` nearest signed axes of each row, nearest first (2 i for +i, 2 i + 1 for -i), and how far each is."""
+    far = np.empty((len(rotated), 2 * rotated.shape[1]), dtype=np.float32)
+    far[:, 0::2], far[:, 1::2] = -rotated, rotated
+    found = np.argsort(far, axis=1, kind="stable")[:, :count]
+    return found, np.take_along_axis(far, found, axis=1)
+
+
+def buckets(unit: np.ndarray, which: int, count: int, per_key: int, seed: int) -> np.ndarray:
+    """The ``count`` likeliest buckets of each row in table ``which``; a bucket is one axis of each of ``per_key`` rotations."""
+    keys, far = np.zeros((len(unit), 1), dtype=np.int64), np.zeros((len(unit), 1), dtype=np.float32)
+    for j in range(per_key):
+        rotated = rotate(unit, which * per_key + j, seed)
+        found, away = axes(rotated, count)
+        keys = (keys[:, :, None] * (2 * rotated.shape[1]) + found[:, None, :]).reshape(len(unit), -1)
+        far = (far[:, :, None] + away[:, None, :]).reshape(len(unit), -1)
+        best = np.argsort(far, axis=1, kind="stable")[:, :count]
+        keys, far = np.take_along_axis(keys, best, axis=1), np.take_along_axis(far, best, axis=1)
+    return keys
 
 
 def _unit(column: pa.Array, dtype: str) -> np.ndarray:
@@ -60,14 +74,14 @@ def _unit(column: pa.Array, dtype: str) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _hasher(dtype: str, tables: int, count: int, seed: int):
+def _hasher(dtype: str, tables: int, count: int, per_key: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
             unit = _unit(batch.column(batch.num_columns - 1), dtype)
-            found = np.stack([axes(rotate(unit, t, seed), count) for t in range(tables)], axis=1).reshape(len(unit), -1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(found.astype(np.int32)), pa.list_(pa.int32()))], names=[*batch.schema.names, "buckets"])
+            found = np.stack([buckets(unit, t, count, per_key, seed) for t in range(tables)], axis=1).reshape(len(unit), -1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(found), pa.list_(pa.int64()))], names=[*batch.schema.names, "buckets"])
 
     return run
 
@@ -114,7 +128,7 @@ def _ranked(pairs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def nearest(vectors: DataFrame, k: int = 10, every: int = 100, tables: int = TABLES, probes: int = PROBES, seed: int = 0, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 10, every: int = 100, tables: int = TABLES, probes: int = PROBES, axes_per_hash: int = 1, seed: int = 0, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of the rows whose id is divisible by ``every``: their k nearest other rows found.
 
     Nearest first by exact Euclidean distance in double precision, ties to the smaller id;
@@ -123,6 +137,10 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, tables: int = TAB
     part, and neither do null ids. A repeated id counts once, with its least vector. Other
     columns are ignored. No rows give no rows.
 
+    With more ``axes_per_hash`` there are more and smaller buckets: (2 d) to that power a
+    table. One is right for thousands to millions of vectors; raise it with the table, and
+    ``probes`` with it, so that buckets stay small.
+
     Equal vectors are searched once: of each only the k + 1 smallest ids can be in a result,
     and those are found before the shuffle. Buckets are split into blocks of BLOCK_ROWS.
     A query whose probes find fewer than it could have is ranked against all blocks.
@@ -145,15 +163,15 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, tables: int = TAB
     queries = rows.where(F.col("id") % every == 0).join(distinct.select("h", "v", "vid"), ["h", "v"]).select(F.col("vid").alias("query"), F.col("id").alias("query_id"))
     queries = shared_table(queries, "queries")
     packed = distinct.select("vid", "ids", "v").mapInArrow(_packer(dtype), "vid long, ids array<long>, raw binary")
-    hashed = shared_table(packed.mapInArrow(_hasher(dtype, tables, 1, seed), "vid long, ids array<long>, raw binary, buckets array<int>"), "hashed")
+    hashed = shared_table(packed.mapInArrow(_hasher(dtype, tables, 1, axes_per_hash, seed), "vid long, ids array<long>, raw binary, buckets array<bigint>"), "hashed")
 
     spread = hashed.select("vid", "ids", "raw", F.posexplode("buckets").alias("t", "b"))
-    # at most tables x twice the padded dimension rows, however many vectors
+    # a row per bucket; Spark broadcasts it if its size allows, and splits a skewed join if not
     parts = spread.groupBy("t", "b").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
-    parts = F.broadcast(shared_table(parts, "parts"))
+    parts = shared_table(parts, "parts")
     index = spread.join(parts, ["t", "b"]).withColumn("part", F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int"))
     asked = hashed.join(queries.select(F.col("query").alias("vid")).distinct(), "vid", "left_semi").select("vid", "raw")
-    probe = asked.mapInArrow(_hasher(dtype, tables, probes, seed), "vid long, raw binary, buckets array<int>").select("vid", "raw", F.posexplode("buckets").alias("_i", "b"))
+    probe = asked.mapInArrow(_hasher(dtype, tables, probes, axes_per_hash, seed), "vid long, raw binary, buckets array<bigint>").select("vid", "raw", F.posexplode("buckets").alias("_i", "b"))
     probe = probe.select("vid", "raw", F.floor(F.col("_i") / probes).cast("int").alias("t"), "b").join(parts, ["t", "b"])
     probe = probe.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     pairs = "query long, vid long, score double, ids array<long>"

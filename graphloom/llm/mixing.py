@@ -11,6 +11,7 @@ taken size differs from its target by less than one row's size.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -124,37 +125,43 @@ def pivotal_copies(rows: DataFrame, group: str, seed: int = 0, chunk: int = CHUN
     return out.select(*kept, (F.col("_whole") + F.when(F.col("size") > 0, F.col("_p")).otherwise(0)).cast("long").alias("copies"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, seed: int = 0, carry: Sequence[str] = ()) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, copies, and the columns ``carry``) for each row of ``docs``.
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, seed: int = 0) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, copies) for each row of ``docs``.
 
     Null text has size 0; a null source is a source of its own, last in order. Rows of
     size 0 are taken 0 words. Repeated rows are rounded one by one. Other columns of
     ``docs`` are ignored, so clashing names do no harm. Equal input gives equal output,
     whatever the partitions. An empty table gives no rows.
     """
-    sizes = shared_table(docs.select("doc_id", "source", words_in(F.col("text")).alias("size"), *carry), "sizes")
+    sizes = shared_table(docs.select("doc_id", "source", words_in(F.col("text")).alias("size")), "sizes")
     targets = source_targets(sizes, weights, share, most).withColumnRenamed("source", "_s")
     # the few sources are sized at run time before they are broadcast; a large list of them is a skew-handled join
     wanted = sizes.join(targets, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(*carry or [F.lit(0)]))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(0)))
     wanted = wanted.withColumns({"want": ratio, "_key": F.concat_ws(":", F.col("doc_id").cast("string"), nth.cast("string"))})
     copies = pivotal_copies(wanted, "source", seed)
-    return copies.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", *carry)
+    return copies.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def mix_rows(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, seed: int = 0) -> DataFrame:
     """Whole rows of ``docs``, each as often as the mix takes it; columns stay.
 
-    Rows of size 0 stay once, since they weigh nothing. The row number that joins a row to
-    its copies is fixed by being written.
+    Rows of size 0 stay once, since they weigh nothing. Rows with one doc_id, source and size
+    share what the mix takes of them, in the order of their texts. Texts are shuffled once
+    and never written; the table of copies has no size bound and isn't broadcast.
     """
     docs, restored = shield(docs, "doc_id", "source", "text")
-    rows = shared_table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    mixed = mix(rows, weights, share, most, seed, carry=["_row"]).where("copies > 0 or size = 0")
-    copies = mixed.select("_row", F.greatest("copies", F.lit(1).cast("long")).alias("_copies"))
-    both = rows.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return both.select(*restored)
+    # a struct of nulls equals another one, so null ids and sources find their rows
+    key = lambda size: F.struct("doc_id", "source", size.alias("size"))
+    levels = range(1, math.ceil(most) + 1)
+    at_least = [F.sum((F.greatest("copies", (F.col("size") == 0).cast("long")) >= v).cast("long")).alias(f"_c{v}") for v in levels]
+    copies = mix(docs, weights, share, most, seed).groupBy(key(F.col("size")).alias("_key")).agg(*at_least).where("_c1 > 0")
+    both = docs.withColumn("_key", key(words_in(F.col("text")))).join(copies.hint("merge"), "_key")
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy("text"))
+    taken = both.withColumn("_nth", nth).withColumn("_copies", sum((F.col("_nth") <= F.col(f"_c{v}")).cast("int") for v in levels))
+    taken = taken.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return taken.select(*restored)
 
 
 def op7_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -193,8 +193,9 @@ def infer_formats(scanned: DataFrame) -> dict[str, Automaton]:
     for kind in KINDS[:3]:
         if values := _examples(one.where(F.col("kind") == kind).select("value")):
             out[kind] = infer(values)
-    found = one.where("kind != 'format'").select("value")
-    plain = scanned.select(F.explode("plain").alias("value"))
+    # distinct first: a common token is one row before it is shuffled
+    found = one.where("kind != 'format'").select("value").distinct()
+    plain = scanned.select(F.explode("plain").alias("value")).distinct()
     out["plain"] = infer(_examples(plain.join(found, "value", "left_anti")))
     return out
 
@@ -222,35 +223,54 @@ def find_secrets(docs: DataFrame, keep: list[str]) -> DataFrame:
     to learn from and nothing is added. Repeated rows each get their own result.
     """
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    scanned = shared_table(docs.select(*keep, text_or_empty().alias("_text")).mapInArrow(_scan, f"{schema}, found {_FOUND_SQL}, plain array<string>"), "found")
-    formats = infer_formats(scanned)
-    return scanned.select(*keep, "found").mapInArrow(_score(formats), f"{schema}, secrets {_FOUND_SQL}")
+    scanned = _scanned(docs, keep)
+    return scanned.select(*keep, "found").mapInArrow(_score(infer_formats(scanned)), f"{schema}, secrets {_FOUND_SQL}")
 
 
-def _masker(mark: str):
+def _scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns ``keep``, ``found`` (base spans and tokens to be scored) and ``plain`` (ordinary tokens); one pass over the texts."""
+    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    made = docs.select(*keep, text_or_empty().alias("_text")).mapInArrow(_scan, f"{schema}found {_FOUND_SQL}, plain array<string>")
+    return shared_table(made, "found")
+
+
+def mask(text: str, spans: list[tuple[int, int]], mark: str) -> str:
+    """The text with spans, in order of start, replaced; overlapping ones are one."""
+    parts, at = [], 0
+    for start, end in spans:
+        if end > at:
+            if start >= at:
+                parts += (text[at:start], mark)
+            at = end
+    return "".join(parts) + text[at:]
+
+
+def _masker(formats: dict[str, Automaton], mark: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, spans in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)):
-                t, parts, at = text.as_py(), [], 0
-                for s in spans.as_py() or ():
-                    if s["end"] > at:
-                        if s["start"] >= at:
-                            parts += (t[at : s["start"]], mark)
-                        at = s["end"]
-                out.append(None if t is None else "".join(parts) + t[at:])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out, pa.string())], names=[*batch.schema.names[:-2], "text"])
+            for cell in batch.column(batch.num_columns - 1):
+                text = cell.as_py()
+                if text:
+                    base = base_spans(text)
+                    spans = [x[:2] for x in base] + [(a, b) for a, b, v in other_tokens(text, base) if is_credential(v, formats)]
+                    text = mask(text, sorted(spans), mark)
+                out.append(text)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.string())], names=batch.schema.names)
 
     return run
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """``docs`` with every secret in ``text`` replaced by ``mark`` and ``n_chars``, if there, counted anew; all rows and columns stay."""
+    """``docs`` with every secret in ``text`` replaced by ``mark`` and ``n_chars``, if there, counted anew; all rows and columns stay.
+
+    Texts are scanned once to infer the formats and again to mask, and are never written.
+    """
     docs, restored = shield(docs, "text", "n_chars")
+    formats = infer_formats(_scanned(docs, []).where("size(found) > 0 or size(plain) > 0"))
     rest = [c for c in docs.columns if c != "text"]
-    found = find_secrets(docs, docs.columns)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
-    out = found.select(*rest, "text", "secrets").mapInArrow(_masker(mark), f"{schema + ', ' if rest else ''}text string")
+    out = docs.select(*rest, "text").mapInArrow(_masker(formats, mark), f"{schema + ', ' if rest else ''}text string")
     if "n_chars" in rest:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*restored)

@@ -114,18 +114,24 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, steps: int = 1
 
 
 def _train(bags: pd.DataFrame, y: np.ndarray, prior: float, steps: int, l1: float) -> Model:
-    counts = [len(e) for e in bags["ends"]]
-    first = np.concatenate([[0], np.cumsum([max(1, n) for n in counts])])
-    ids = np.concatenate([np.asarray(x, dtype=np.int64) for x in bags["ids"]])
-    sentence = np.concatenate([np.repeat(first[d] + np.arange(len(e)), np.diff(e, prepend=0)) for d, e in enumerate(bags["ends"])]).astype(np.int64)
-    doc = np.repeat(np.arange(len(y)), np.diff(first))
-    seen = np.unique(doc[sentence] * np.int64(BUCKETS) + ids) % BUCKETS
-    words, docs_with = np.unique(seen, return_counts=True)
-    words = words[docs_with >= LEAST_DOCS]
-    place = np.full(BUCKETS, -1)
+    # one document at a time, so that no array is much larger than the features that are kept
+    counts = np.array([max(1, len(e)) for e in bags["ends"]])
+    first = np.concatenate([[0], np.cumsum(counts)])
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), counts)
+    docs_with = np.zeros(BUCKETS, dtype=np.int32)
+    for x in bags["ids"]:
+        docs_with[np.unique(x)] += 1
+    words = np.flatnonzero(docs_with >= LEAST_DOCS)
+    place = np.full(BUCKETS, -1, dtype=np.int32)
     place[words] = np.arange(len(words))
-    known = place[ids] >= 0
-    col, sentence = place[ids[known]], sentence[known]
+    cols, sentences = [], []
+    for d, (x, e) in enumerate(zip(bags["ids"], bags["ends"], strict=True)):
+        at = np.repeat(np.arange(first[d], first[d] + len(e), dtype=np.int32), np.diff(e, prepend=0))
+        col = place[np.asarray(x, dtype=np.int32)]
+        cols.append(col[col >= 0])
+        sentences.append(at[col >= 0])
+    col, sentence = np.concatenate(cols), np.concatenate(sentences)
+    del cols, sentences, bags
     n_sentences, n_docs = len(doc), len(y)
     w, b = np.zeros(len(words)), float(np.log(prior / max(1.0, n_sentences / n_docs)))
     m1, m2, rate = np.zeros(len(words) + 1), np.zeros(len(words) + 1), 0.1
@@ -144,17 +150,18 @@ def _train(bags: pd.DataFrame, y: np.ndarray, prior: float, steps: int, l1: floa
     return Model({int(i): float(x) for i, x in zip(words, w) if abs(x) > 1e-3}, float(b))
 
 
-def _scorer(model: Model, least: float):
+def _scorer(model: Model, least: float, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = np.log(least / (1 - least))
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
         for batch in batches:
             scores, spans = [], []
             for cell in batch.column(batch.num_columns - 1):
-                got = model.sentences(cell.as_py())
+                got = model.sentences(cell.as_py() or "")
                 scores.append(model.score([z for _, _, z in got]))
-                cut = np.log(least / (1 - least))
                 spans.append([{"start": a, "end": b, "score": float(1 / (1 + np.exp(-z)))} for a, b, z in got if z >= cut])
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array(spans, kind)], names=[*batch.schema.names[:-1], "score", "offending"])
+            n = batch.num_columns - (not with_text)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(scores, pa.float64()), pa.array(spans, kind)], names=[*batch.schema.names[:n], "score", "offending"])
 
     return run
 
@@ -166,8 +173,11 @@ def score_toxicity(docs: DataFrame, model: Model, keep: list[str], sentence_thre
     of one empty sentence. Offsets are code points. Equal texts have equal scores. Columns
     of ``keep`` must not be named score or offending.
     """
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, text_or_empty().alias("_text")).mapInArrow(_scorer(model, sentence_threshold), f"{schema}, score double, offending array<struct<start:bigint,end:bigint,score:double>>")
+    rest = [c for c in keep if c != "text"]
+    given = [*rest, "text"] if "text" in keep else rest
+    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in given)
+    scored = docs.select(*rest, "text").mapInArrow(_scorer(model, sentence_threshold, "text" in keep), f"{schema}score double, offending array<struct<start:bigint,end:bigint,score:double>>")
+    return scored.select(*keep, "score", "offending")
 
 
 def op5_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,6 +33,8 @@ from .components import connected_components
 
 SHINGLE = 3
 RADIUS = 3
+#: Fingerprints at most that are common enough to be broadcast.
+MOST_COMMON = 1000
 #: Hashes whose bits are counted at once; bounds memory for long texts.
 _BLOCK = 1 << 15
 
@@ -122,13 +124,20 @@ def near_classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     are never the smallest unless alone. Other columns are ignored. No rows give no rows.
     """
     rows = shared_table(with_fingerprints(docs, [key]), "fingerprints")
-    fps = shared_table(rows.groupBy("fp").agg(F.min(key).alias("first")), "distinct")
+    fps = shared_table(rows.groupBy("fp").agg(F.min(key).alias("first"), F.count("*").alias("n")), "distinct")
     labels = connected_components(near_links(fps.select("fp")), "fp", "hub")
     named = labels.join(fps, F.col("node") == F.col("fp"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     linked = named.join(least, "component").select("fp", F.col("component_id").alias("_c"))
-    classes = fps.join(linked, "fp", "left").select("fp", F.coalesce("_c", "first").alias("component_id"))
-    return rows.join(classes, "fp").select(key, "fp", "component_id")
+    classes = fps.join(linked, "fp", "left").select("fp", "n", F.coalesce("_c", "first").alias("component_id"))
+    classes = shared_table(classes, "classes")
+    # a fingerprint of a thousandth of all rows or more is one of a thousand at most; those are broadcast, so that
+    # their many rows stay where they are, and the others are joined
+    total = fps.agg(F.sum("n")).head()[0] or 0
+    common = classes.where(F.col("n") * MOST_COMMON >= total).select("fp", "component_id", F.lit(True).alias("_common"))
+    marked = rows.join(F.broadcast(common), "fp", "left")
+    others = marked.where("_common is null").select(key, "fp").join(classes.select("fp", "component_id"), "fp")
+    return marked.where("_common").select(key, "fp", "component_id").unionByName(others.select(key, "fp", "component_id"))
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import shared_table, shield, table
 from graphloom.llm.mixing import mix_rows
+from graphloom.llm.near_copies import dedup
 from graphloom.llm.packing import pack
 from graphloom.llm.secret_scan import redact
-from graphloom.llm.simhash import near_dedup
 from graphloom.llm.toxicity import fit, score_toxicity
 
 
@@ -25,8 +25,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each class of near-duplicates."""
-    return near_dedup(docs)
+    """Drops documents that share 0.8 or more of their five-word shingles with a kept one of smaller id."""
+    return dedup(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import ann, chat_format, components, mixing, packing, registry, secret_scan, sharding, simhash, syncmers, toxicity, url_filter
+from graphloom.llm import ann, chat_format, components, mixing, near_copies, packing, registry, secret_scan, sharding, simhash, syncmers, toxicity, url_filter
 
 from test_llm_small import brute_base, brute_simhash
 
@@ -406,6 +406,34 @@ def test_near_classes(docs, clashing, empty):
     assert Counter(r.doc_id for r in kept.collect()) == Counter(want) + Counter({None: 2})
 
 
+def test_near_copies_match_brute_force(spark, clashing, empty):
+    """Edits that differ by many bits of a SimHash go too; all that stay are unlike, and all that go are like one that stays."""
+    rng = random.Random(12)
+    rows = [(r[0], r[1]) for r in corpus()]
+    for i in range(60):
+        base = words(rng, 150).split()
+        for j in range(4):
+            edited = list(base)
+            for at in rng.sample(range(150), 0 if j == 0 else rng.choice([1, 2, 3, 5])):
+                edited[at] = f"w{i}x{j}"
+            rows.append((1000 + 10 * i + j, " ".join(edited)))
+
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    kept = {}
+    for i, t in sorted({r for r in rows if r[0] is not None}, key=lambda r: r[0]):
+        mine = shingles(t)
+        if not any(mine == s or len(mine & s) >= 0.8 * len(mine | s) for s in kept.values()):
+            kept[i] = mine
+    df = spark.createDataFrame([r + ("extra",) for r in rows], "doc_id long, text string, band string")
+    out = near_copies.dedup(df)
+    assert out.columns == df.columns
+    assert Counter(r.doc_id for r in out.collect()) == Counter(list(kept)) + Counter({None: 2})
+    assert near_copies.dedup(clashing).columns == clashing.columns and near_copies.dedup(empty).count() == 0
+
+
 def test_ball_links_join_exactly_the_near(spark):
     rng = random.Random(6)
     fps = {rng.getrandbits(64) for _ in range(150)} | {0, 2**64 - 1}

@@ -2,9 +2,9 @@
 
 A window of K words is an anchor if, of the hashes of its S-word pieces, the least
 stands first or last. Whether a window is an anchor depends on its own words alone, so
-an edit elsewhere never moves it. A document's fingerprint is the sketch of its anchors
-with the least hashes; two sketches estimate how alike the anchor sets are, and the
-anchors' positions align matching passages.
+an edit elsewhere never moves it. A document's fingerprint is all its anchors with their
+positions, however long it is; whole anchor sets are compared, and the anchors' positions
+align matching passages.
 """
 
 from __future__ import annotations
@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from .common import table, text_or_empty
 
 K, S = 3, 1
-#: Anchors in a fingerprint.
-SKETCH = 64
 #: Rows in a run of neighbours in doc_id order, on the average.
 RUN_ROWS = 1000
 #: Runs at most, of more rows each where there are very many rows.
@@ -60,22 +58,21 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
     return _let(_word_hashes(F.coalesce(text, F.lit(""))), of_words)
 
 
-def sketch(anchor: Column, size: int = SKETCH) -> Column:
-    """The least distinct anchor hashes as unsigned 32-bit numbers, ascending."""
-    low = F.transform(anchor, lambda a: F.shiftrightunsigned(a["hash"], 32))
-    return F.slice(F.array_sort(F.array_distinct(low)), 1, size)
+def as_text(anchor: Column) -> Column:
+    """Anchors as a string, in order of position: ``hash@pos``, 16 hex digits and a decimal number, parted by spaces."""
+    return F.array_join(F.transform(anchor, lambda a: F.concat(F.lower(F.lpad(F.hex(a["hash"]), 16, "0")), F.lit("@"), a["pos"].cast("string"))), " ")
 
 
-def as_text(least: Column) -> Column:
-    """A sketch as a string: eight hex digits a number."""
-    return F.lower(F.array_join(F.transform(least, lambda x: F.lpad(F.hex(x), 8, "0")), ""))
+def likeness(a: Column, b: Column) -> Column:
+    """The Jaccard likeness of the sets of hashes of two arrays of anchors: 1 for two empty ones, 0 if just one is."""
+    hashes = lambda x: F.array_distinct(F.transform(x, lambda y: y["hash"]))
 
+    def of_sets(x: Column) -> Column:
+        shared = F.size(F.array_intersect(x["a"], x["b"]))
+        every = F.size(x["a"]) + F.size(x["b"]) - shared
+        return F.when(every == 0, F.lit(1.0)).otherwise(shared / every)
 
-def likeness(a: Column, b: Column, size: int = SKETCH) -> Column:
-    """The Jaccard likeness of two anchor sets from their sketches: 1 for two empty ones, 0 if just one is."""
-    both = F.slice(F.array_sort(F.array_union(a, b)), 1, size)
-    shared = F.size(F.array_intersect(F.array_intersect(a, b), both))
-    return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(shared / F.size(both))
+    return _let(F.struct(hashes(a).alias("a"), hashes(b).alias("b")), of_sets)
 
 
 def best_shift(a: Column, b: Column) -> Column:
@@ -121,17 +118,16 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     empty; empty texts have an empty fingerprint. Equal texts have equal fingerprints.
     Repeated rows are documents of their own. Other columns are ignored; no rows give none.
     """
-    own = docs.select("doc_id", text_or_empty().alias("text"))
-    own = own.withColumn("sketch", sketch(anchors(F.col("text"))))
-    both = with_next(own, ["text", "sketch"])
+    # anchors of the next text are found anew after the shuffle; they would be as large as the text
+    both = with_next(docs.select("doc_id", text_or_empty().alias("text")), ["text"])
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
-    both = both.select("doc_id", "sketch", "next_sketch", n.cast("long").alias("n_chars"), edited.alias("edited"))
-    both = both.withColumns({"edited_sha256": F.sha2("edited", 256), "edited_sketch": sketch(anchors(F.col("edited")))})
+    both = both.select("doc_id", n.cast("long").alias("n_chars"), anchors(F.col("text")).alias("own"), anchors(F.col("next_text")).alias("next"), edited.alias("edited"))
+    both = both.withColumns({"edited_sha256": F.sha2("edited", 256), "edited_own": anchors(F.col("edited"))})
     return both.select(
-        "doc_id", "n_chars", "edited_sha256", as_text(F.col("sketch")).alias("fingerprint"), as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("edited_own")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("edited_own")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"),
     )
 
 

@@ -291,6 +291,23 @@ def test_anchors_are_context_free_and_by_definition(spark):
     assert shift == 50
 
 
+def test_fingerprints_hold_every_anchor(spark):
+    """A passage shared by long texts shows, and so does any edit, however long the texts are."""
+    rng = random.Random(21)
+    shared = words(rng, 40)
+    a, b = f"{words(rng, 3000)} {shared}", f"{shared} {words(rng, 3000)}"
+    c = a.split()
+    c[1500] = "edited"
+    df = spark.createDataFrame([(3, a), (2, b), (1, " ".join(c))], "doc_id long, text string")
+    got = {r.doc_id: r for r in syncmers.fingerprint_documents(df).collect()}
+    found = {r.doc_id: r.x for r in df.select("doc_id", syncmers.anchors(F.col("text")).alias("x")).collect()}
+    for i, r in got.items():
+        assert [(int(h, 16), int(p)) for h, p in (x.split("@") for x in r.fingerprint.split(" "))] == [(y.hash % 2**64, y.pos) for y in found[i]]
+    sets = {i: {y.hash for y in x} for i, x in found.items()}
+    for i, j in ((3, 2), (2, 1), (1, 3)):
+        assert got[i].near_next == pytest.approx(len(sets[i] & sets[j]) / len(sets[i] | sets[j])) and 0 < got[i].near_next < 1
+
+
 def brute_targets(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: weights[i % 3] for i, s in enumerate(names)}

@@ -8,7 +8,8 @@ goes without a kept one that is LEAST or more like it.
 Documents are settled in order of id, in rounds. One that is the smallest of what is left in
 all its bands stays; those that share a band with it are compared to it and go if alike, and
 the others go on without it. A band's documents are compared to its smallest only, so that a
-round is linear in the rows however many share a band.
+round is linear in the rows however many share a band. As soon as the bands' pairs are PAIRS
+a row at most, all that are left are compared at once, and rounds go over the alike ones.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ LEAST = 0.8
 BANDS, ROWS = 20, 5
 #: Shingles whose minima are taken at once; bounds memory for long texts.
 _BLOCK = 1 << 12
+#: Once bands have no more than so many pairs a row, all pairs that are left are compared at once.
+PAIRS = 32
 
 
 def shingle_set(text: bytes, n: int = SHINGLE) -> np.ndarray:
@@ -72,22 +75,23 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _alike(least: float):
-    """The ids whose set is ``least`` or more like the hub's."""
+    """The pairs whose sets are ``least`` or more alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for key, a, b in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for key, hub, a, b in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 a, b = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
                 shared = len(np.intersect1d(a, b, assume_unique=True))
                 if shared >= least * (len(a) + len(b) - shared):
-                    out.append(key)
-            yield pa.RecordBatch.from_arrays([pa.array(out, batch.schema.field(0).type)], names=["id"])
+                    out.append((key, hub))
+            columns = [pa.array([pair[i] for pair in out], batch.schema.field(i).type) for i in range(2)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "hub"])
 
     return run
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", least: float = LEAST) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", least: float = LEAST, most_pairs: int = PAIRS) -> DataFrame:
     """``docs`` without the rows that are ``least`` or more like a row with a smaller key that stays.
 
     Of texts with equal shingle sets the smallest key stands for all; null and empty texts
@@ -112,22 +116,39 @@ def dedup(docs: DataFrame, key: str = "doc_id", least: float = LEAST) -> DataFra
     sets = chosen.select(F.col(key).alias("id"), F.encode(text_or_empty(), "UTF-8").alias("_text")).mapInArrow(_sets, f"id {kind}, shingles binary")
     sets = shared_table(sets.dropDuplicates(["id"]), "sets")
 
-    gone = None
+    def compared(met: DataFrame) -> DataFrame:
+        """Those of the pairs (id, hub) that are alike."""
+        one, other = sets.select("id", "shingles"), sets.select(F.col("id").alias("hub"), F.col("shingles").alias("others"))
+        pairs = met.join(one, "id").hint("merge").join(other, "hub").select("id", "hub", "shingles", "others")
+        return pairs.mapInArrow(_alike(least), f"id {kind}, hub {kind}")
+
+    gone, links = rows.select("id").limit(0), None
     while not left.isEmpty():
+        n = F.col("n")
+        rows_left, pairs_left = left.groupBy("band").agg(F.count("*").alias("n")).agg(F.sum(n), F.sum(n * (n - 1) / 2)).head()
+        if pairs_left <= most_pairs * rows_left:
+            hub = left.select("band", F.col("id").alias("hub"))
+            met = left.hint("merge").join(hub, "band").where("hub < id").select("id", "hub").distinct()
+            links = shared_table(compared(shared_table(met, "met")), "links")
+            break
         least_of = left.groupBy("band").agg(F.min("id").alias("hub"))
         hubs = left.hint("merge").join(least_of, "band")
         # of what is left, the smallest in all its bands
         stays = hubs.groupBy("id").agg(F.min("hub").alias("least")).where("id = least").select(F.col("id").alias("hub"))
         met = shared_table(hubs.where("id != hub").select("id", "hub").distinct().join(stays, "hub", "left_semi"), "met")
-        one, other = sets.select("id", "shingles"), sets.select(F.col("id").alias("hub"), F.col("shingles").alias("others"))
-        pairs = met.join(one, "id").hint("merge").join(other, "hub").select("id", "shingles", "others")
-        drop = shared_table(pairs.mapInArrow(_alike(least), f"id {kind}").distinct(), "gone")
-        gone = drop if gone is None else gone.unionAll(drop)
+        drop = shared_table(compared(met).select("id").distinct(), "gone")
+        gone = gone.unionAll(drop)
         done = drop.unionAll(stays.select(F.col("hub").alias("id")))
         left = shared_table(left.join(done, "id", "left_anti"), "bands")
+    while links is not None and not links.isEmpty():
+        # a hub that no smaller one is like stays
+        stays = links.select("hub").distinct().join(links.select(F.col("id").alias("hub")), "hub", "left_anti")
+        drop = shared_table(links.join(stays, "hub", "left_semi").select("id").distinct(), "gone")
+        gone = gone.unionAll(drop)
+        links = shared_table(links.join(drop, "id", "left_anti").join(drop.select(F.col("id").alias("hub")), "hub", "left_anti"), "links")
 
     kept = firsts.select("id", F.col("h").alias("_fh"))
-    kept = (kept if gone is None else kept.join(gone, "id", "left_anti")).withColumnRenamed("id", "_kept")
+    kept = kept.join(gone, "id", "left_anti").withColumnRenamed("id", "_kept")
     rows = named.join(kept, F.col(key) == F.col("_kept")).where("_h = _fh").drop("_kept", "_fh", "_h")
     once = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy("text"))).where("_nth = 1").drop("_nth")
     return once.unionByName(docs.where(F.col(key).isNull())).select(*restored)

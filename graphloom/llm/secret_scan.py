@@ -3,9 +3,14 @@
 Three base patterns find credentials by context or prefix. The values they find are the
 labelled examples: for each kind a prefix tree of their character classes is reduced by
 ALERGIA (states whose continuation and stopping frequencies agree within a Hoeffding
-bound are merged) to a probabilistic automaton. A further automaton is inferred from
-ordinary tokens. Every other long token is scored by all automata, and one that a
-credential format explains far better than ordinary text does is reported as ``format``.
+bound are merged) to a probabilistic automaton. Two more are inferred in the same way from
+the ordinary tokens of all texts, one of those with a letter and one of the others, whose
+prefix trees are counted where the texts lie. Every token of six characters or more, base values included, is then scored by
+the likelihood of the best credential format over that of ordinary text, and a token that
+a format explains far better is reported as ``format``.
+
+Texts are read twice, once to count and once to score; nothing as large as they are is
+written or shuffled.
 """
 
 from __future__ import annotations
@@ -13,33 +18,40 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_table, shield, table, text_or_empty
 
 KINDS = ("assign", "access", "hex", "format")
+#: Kinds of ordinary tokens: with a letter, and without.
+PLAIN = ("words", "numbers")
 _ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
-_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
+#: A token is scored from this length on: that of the shortest value a base pattern takes.
+SHORTEST = 6
+_TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % SHORTEST)
+_LETTERS = re.compile(r"[fFzZ]")
 _HINTS = ("passw", "secret", "token", "api")
 
-#: Labelled values and ordinary tokens that an automaton is inferred from, at most; those with the smallest hashes.
+#: Labelled values that a format is inferred from, at most; those with the smallest hashes.
 FIT_ROWS = 1500
-#: Longer values aren't examples.
-FIT_LENGTH = 200
-#: One ordinary token in so many is offered as an example.
-BACKGROUND_RATE = 512
+#: Depth of the prefix trees; longer values are scored whole, by the merged states.
+DEPTH = 64
+#: The ordinary tokens of a kind weigh as if there were so many at most, so that automata are alike at every size of the corpus.
+PLAIN_WEIGHT = 20_000
+#: States of ordinary text that fewer than one token in so many visits aren't told apart; at most so many a level reach the driver.
+PLAIN_STATES = 4000
 #: Nats by which a credential format must beat ordinary text: a fixed part and a part per character.
 MARGIN, MARGIN_PER_CHAR = 6.0, 0.25
+#: Tokens and shapes that a task remembers at once.
+_REMEMBERED = 100_000
 
 _CLASS = str.maketrans({**{c: "0" for c in "0123456789"}, **{c: "f" for c in "abcdef"}, **{c: "z" for c in "ghijklmnopqrstuvwxyz"}, **{c: "F" for c in "ABCDEF"}, **{c: "Z" for c in "GHIJKLMNOPQRSTUVWXYZ"}})
 _SYMBOLS = 5 + len("+/_.=-")
@@ -72,22 +84,32 @@ class Automaton:
 
 
 def infer(values: Iterable[str], alpha: float = 0.05) -> Automaton:
-    """ALERGIA over the class strings of the values."""
-    visits, stops, moves = [0], [0], [{}]
-    for v in sorted(map(shape, values)):
-        at = 0
-        visits[0] += 1
-        for c in v:
-            to = moves[at].get(c)
-            if to is None:
-                to = moves[at][c] = len(visits)
-                visits.append(0)
-                stops.append(0)
-                moves.append({})
-            visits[to] += 1
-            at = to
-        stops[at] += 1
-    count: dict[tuple[int, str], int] = {(q, c): visits[t] for q, m in enumerate(moves) for c, t in m.items()}
+    """ALERGIA over the class strings of the values, to the depth DEPTH."""
+    return infer_counted(prefix_counts(Counter(map(shape, values))), alpha)
+
+
+def prefix_counts(shapes: dict[str, float]) -> dict[str, list[float]]:
+    """{prefix: [visits, stops]} of counted class strings: the prefix tree, to the depth DEPTH."""
+    out: dict[str, list[float]] = {"": [0, 0]}
+    for said, n in shapes.items():
+        for depth in range(min(len(said), DEPTH) + 1):
+            at = out.setdefault(said[:depth], [0, 0])
+            at[0] += n
+        if len(said) <= DEPTH:
+            at[1] += n
+    return out
+
+
+def infer_counted(tree: dict[str, list[float]], alpha: float = 0.05) -> Automaton:
+    """ALERGIA over a counted prefix tree; a prefix whose parent is missing is left out."""
+    prefixes = sorted(tree, key=lambda x: (len(x), x))
+    at_of = {x: i for i, x in enumerate(prefixes)}
+    visits, stops = [tree[x][0] for x in prefixes], [tree[x][1] for x in prefixes]
+    moves: list[dict[str, int]] = [{} for _ in prefixes]
+    for i, x in enumerate(prefixes[1:], 1):
+        if (up := at_of.get(x[:-1])) is not None:
+            moves[up][x[-1]] = i
+    count: dict[tuple[int, str], float] = {(q, c): visits[t] for q, m in enumerate(moves) for c, t in m.items()}
     bound = math.sqrt(0.5 * math.log(2 / alpha))
 
     def differ(a: int, n: int, b: int, m: int) -> bool:
@@ -155,83 +177,151 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
-def other_tokens(text: str, base: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str]]:
-    """Runs of 16 or more token characters with a digit and a letter that touch no base span."""
-    out = []
-    for run in _RUN.finditer(text):
-        if _DIGIT.search(run[0]) and _LETTER.search(run[0]) and not any(a < run.end() and run.start() < b for a, b, _, _ in base):
-            out.append((run.start(), run.end(), run[0]))
-    return out
-
-
-_FOUND = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("value", pa.string())]))
-_FOUND_SQL = "array<struct<start:bigint,end:bigint,kind:string,value:string>>"
+def base_and_tokens(text: str) -> tuple[list[tuple[int, int, str, str]], str, list[str]]:
+    """Base spans, the text with them blanked out at the same length, and its remaining runs of token characters."""
+    tokens, low = _TOKEN.findall(text), text.lower()
+    # access and hex values are parts of tokens of 20 characters or more
+    if not (any(h in low for h in _HINTS) or any(len(t) >= 20 for t in tokens)) or not (base := base_spans(text)):
+        return [], text, tokens
+    parts, at = [], 0
+    for start, end, _, _ in base:
+        if end > at:
+            parts += (text[at:start], "\0" * (end - max(start, at)))
+            at = end
+    blank = "".join(parts) + text[at:]
+    return base, blank, _TOKEN.findall(blank)
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found, plain = [], []
-        for cell in batch.column(batch.num_columns - 1):
-            text = cell.as_py()
-            base = base_spans(text)
-            found.append([dict(zip(("start", "end", "kind", "value"), x)) for x in base] + [{"start": a, "end": b, "kind": "format", "value": v} for a, b, v in other_tokens(text, base)])
-            # a token's own hash decides, so that a common token is no likelier to be an example
-            plain.append([t for t in {m[0] for m in _TOKEN.finditer(text)} if xxhash.xxh32_intdigest(t) % BACKGROUND_RATE == 0] if text else [])
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, _FOUND), pa.array(plain, pa.list_(pa.string()))], names=[*batch.schema.names[:-1], "found", "plain"])
+def core(token: str) -> str:
+    """The token without marks of a sentence around it."""
+    return token.lstrip("=.-").rstrip(".-")
 
 
-def _examples(values: DataFrame) -> list[str]:
-    """Distinct values with the smallest hashes, FIT_ROWS at most."""
-    usable = values.where(F.length("value").between(1, FIT_LENGTH)).distinct()
-    return [r[0] for r in usable.orderBy(F.xxhash64("value"), "value").limit(FIT_ROWS).collect()]
+def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, value, visits, stops): labelled values, and the prefix trees of the task's ordinary tokens by kind."""
 
+    def counted() -> pa.RecordBatch:
+        rows = [(kind, value, 1, 1) for kind, value in sorted(labelled)]
+        for kind in PLAIN:
+            rows += [(kind, x, *n) for x, n in prefix_counts({x: n for x, n in shapes.items() if plain_kind(x) == kind}).items()]
+        labelled.clear()
+        shapes.clear()
+        columns = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["kind", "value", "visits", "stops"])
 
-def infer_formats(scanned: DataFrame) -> dict[str, Automaton]:
-    """Automata of the base kinds that occur, and of ordinary text as ``plain``; inferred from a bounded sample of distinct values."""
+    labelled: set[tuple[str, str]] = set()
+    shapes: Counter = Counter()
+    for batch in batches:
+        said: Counter = Counter()
+        for cell in batch.column(0):
+            base, _, tokens = base_and_tokens(cell.as_py())
+            labelled.update((kind, value[: DEPTH + 1]) for _, _, kind, value in base)
+            said.update(tokens)
+        for token, n in said.items():
+            if len(token := core(token)) >= SHORTEST:
+                shapes[shape(token[: DEPTH + 1])] += n
+        if len(shapes) + len(labelled) > _REMEMBERED:
+            yield counted()
+    if shapes or labelled:
+        yield counted()
+
+
+def plain_kind(shaped: str) -> str:
+    return "words" if _LETTERS.search(shaped) else "numbers"
+
+
+def infer_formats(docs: DataFrame) -> dict[str, Automaton]:
+    """Automata of the base kinds that occur, and of the kinds of ordinary tokens.
+
+    Formats are inferred from a bounded sample of the labelled values; ordinary text from
+    the prefix trees of all tokens outside base spans, whose rare states are taken for
+    never seen.
+    """
+    made = docs.select(text_or_empty().alias("_text")).where("_text != ''").mapInArrow(_counter, "kind string, value string, visits long, stops long")
+    counted = shared_table(made.groupBy("kind", "value").agg(F.sum("visits").alias("visits"), F.sum("stops").alias("stops")), "counted")
     out = {}
-    one = scanned.select(F.explode("found").alias("f")).select("f.kind", "f.value")
     for kind in KINDS[:3]:
-        if values := _examples(one.where(F.col("kind") == kind).select("value")):
+        chosen = counted.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(FIT_ROWS)
+        if values := [r["value"] for r in chosen.select("value").collect()]:
             out[kind] = infer(values)
-    # distinct first: a common token is one row before it is shuffled
-    found = one.where("kind != 'format'").select("value").distinct()
-    plain = scanned.select(F.explode("plain").alias("value")).distinct()
-    out["plain"] = infer(_examples(plain.join(found, "value", "left_anti")))
+    for kind in PLAIN:
+        plain = counted.where(F.col("kind") == kind)
+        root = plain.where("value = ''").head()
+        n = root["visits"] if root else 0
+        weight = min(1.0, PLAIN_WEIGHT / max(n, 1))
+        rows = plain.where(F.col("visits") * PLAIN_STATES >= n).collect() if n else []
+        out[kind] = infer_counted({"": [0, 0]} | {r["value"]: [r["visits"] * weight, r["stops"] * weight] for r in rows})
     return out
 
 
-def is_credential(value: str, formats: dict[str, Automaton]) -> bool:
-    plain = formats["plain"].log_likelihood(value)
-    best = max((a.log_likelihood(value) for k, a in formats.items() if k != "plain"), default=-math.inf)
-    return best - plain > MARGIN + MARGIN_PER_CHAR * len(value)
-
-
-def _score(formats: dict[str, Automaton]):
+class Judge:
+    """Scores of tokens; what was judged before in the task is remembered, up to a bound."""
+
+    def __init__(self, formats: dict[str, Automaton]):
+        self.plain = [a for k, a in formats.items() if k in PLAIN]
+        self.formats = [a for k, a in formats.items() if k not in PLAIN]
+        self._of_shape: dict[str, float] = {}
+        self._of_token: dict[str, bool] = {}
+
+    def score(self, value: str) -> float:
+        """Nats by which the best format explains the value better than ordinary text does; without formats minus infinity."""
+        said = shape(value)
+        found = self._of_shape.get(said)
+        if found is None:
+            if len(self._of_shape) >= _REMEMBERED:
+                self._of_shape.clear()
+            best = lambda automata: max((a.log_likelihood(value) for a in automata), default=-math.inf)
+            found = self._of_shape[said] = best(self.formats) - best(self.plain) if self.formats else -math.inf
+        return found
+
+    def is_credential(self, token: str) -> bool:
+        found = self._of_token.get(token)
+        if found is None:
+            if len(self._of_token) >= _REMEMBERED:
+                self._of_token.clear()
+            value = core(token)
+            found = self._of_token[token] = len(value) >= SHORTEST and self.score(value) > MARGIN + MARGIN_PER_CHAR * len(value)
+        return found
+
+    def spans(self, text: str) -> list[tuple[int, int, str, str]]:
+        """(start, end, kind, value) of all secrets of the text, by start, then kind."""
+        base, blank, tokens = base_and_tokens(text)
+        if any(map(self.is_credential, set(tokens))):
+            for m in _TOKEN.finditer(blank):
+                if self.is_credential(m[0]):
+                    start = m.end() - len(m[0].lstrip("=.-"))
+                    base.append((start, start + len(core(m[0])), "format", core(m[0])))
+            base.sort(key=lambda x: (x[0], KINDS.index(x[2])))
+        return base
+
+
+_FOUND = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("value", pa.string()), ("score", pa.float64())]))
+_FOUND_SQL = "array<struct<start:bigint,end:bigint,kind:string,value:string,score:double>>"
+
+
+def _finder(formats: dict[str, Automaton]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(formats)
+        names = [f.name for f in _FOUND.value_type]
         for batch in batches:
-            out = [[s for s in cell.as_py() if s["kind"] != "format" or is_credential(s["value"], formats)] for cell in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([sorted(x, key=lambda s: (s["start"], KINDS.index(s["kind"]))) for x in out], _FOUND)], names=[*batch.schema.names[:-1], "secrets"])
+            out = [[dict(zip(names, (*s, judge.score(s[3])))) for s in judge.spans(cell.as_py())] for cell in batch.column(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, _FOUND)], names=[*batch.schema.names[:-1], "secrets"])
 
     return run
 
 
 def find_secrets(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` (not named secrets) and ``secrets``: array of (start, end, kind, value) by start, then kind.
+    """The columns ``keep`` (not named secrets) and ``secrets``: array of (start, end, kind, value, score) by start, then kind.
 
-    Offsets are code points, end exclusive. Null and empty texts have an empty array; whole
-    texts are scanned, in one pass. Where no base pattern occurs anywhere there is nothing
-    to learn from and nothing is added. Repeated rows each get their own result.
+    Offsets are code points, end exclusive; value is what the format is judged by, and
+    score is the logarithm of its best format's likelihood over that of ordinary text.
+    Null and empty texts have an empty array; whole texts are scanned. Where no base
+    pattern occurs anywhere there is nothing to learn from and nothing is added. Repeated
+    rows each get their own result; equal texts have equal results.
     """
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    scanned = _scanned(docs, keep)
-    return scanned.select(*keep, "found").mapInArrow(_score(infer_formats(scanned)), f"{schema}, secrets {_FOUND_SQL}")
-
-
-def _scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep``, ``found`` (base spans and tokens to be scored) and ``plain`` (ordinary tokens); one pass over the texts."""
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    made = docs.select(*keep, text_or_empty().alias("_text")).mapInArrow(_scan, f"{schema}found {_FOUND_SQL}, plain array<string>")
-    return shared_table(made, "found")
+    texts = docs.select(*keep, text_or_empty().alias("_text"))
+    return texts.mapInArrow(_finder(infer_formats(docs)), f"{schema}secrets {_FOUND_SQL}")
 
 
 def mask(text: str, spans: list[tuple[int, int]], mark: str) -> str:
@@ -247,15 +337,12 @@ def mask(text: str, spans: list[tuple[int, int]], mark: str) -> str:
 
 def _masker(formats: dict[str, Automaton], mark: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(formats)
         for batch in batches:
             out = []
             for cell in batch.column(batch.num_columns - 1):
                 text = cell.as_py()
-                if text:
-                    base = base_spans(text)
-                    spans = [x[:2] for x in base] + [(a, b) for a, b, v in other_tokens(text, base) if is_credential(v, formats)]
-                    text = mask(text, sorted(spans), mark)
-                out.append(text)
+                out.append(mask(text, [x[:2] for x in judge.spans(text)], mark) if text else text)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.string())], names=batch.schema.names)
 
     return run
@@ -267,7 +354,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     Texts are scanned once to infer the formats and again to mask, and are never written.
     """
     docs, restored = shield(docs, "text", "n_chars")
-    formats = infer_formats(_scanned(docs, []).where("size(found) > 0 or size(plain) > 0"))
+    formats = infer_formats(docs)
     rest = [c for c in docs.columns if c != "text"]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
     out = docs.select(*rest, "text").mapInArrow(_masker(formats, mark), f"{schema + ', ' if rest else ''}text string")
@@ -278,21 +365,23 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts, sha, spans = {k: [] for k in KINDS[:3]}, [], []
+        counts, sha, spans, scores = {k: [] for k in KINDS}, [], [], []
         for cell in batch.column(1):
             got = cell.as_py()
-            base = [s for s in got if s["kind"] != "format"]
             for k, n in counts.items():
-                n.append(sum(s["kind"] == k for s in base))
+                n.append(sum(s["kind"] == k for s in got))
             said = lambda xs: ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in xs)
-            sha.append(hashlib.sha256(said(base).encode()).hexdigest())
+            sha.append(hashlib.sha256(said([s for s in got if s["kind"] != "format"]).encode()).hexdigest())
             spans.append(said(got))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(n, pa.int64()) for n in counts.values()), pa.array(sha, pa.string()), pa.array(spans, pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+            scores.append(",".join(f"{s['score']:.2f}" for s in got))
+        columns = [batch.column(0), *(pa.array(counts[k], pa.int64()) for k in KINDS[:3]), *(pa.array(x, pa.string()) for x in (sha, spans, scores)), pa.array(counts["format"], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "scores", "n_format"])
 
 
 def op8_grammar_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beyond the contract's columns: each span's score (nats, in the order of spans) and the number of added spans."""
     found = find_secrets(table(spark, sf_dir, "documents"), ["doc_id"])
-    return found.mapInArrow(_digest, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return found.mapInArrow(_digest, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, scores string, n_format long")
 
 
 QUERIES = {"op8_grammar_inference": op8_grammar_inference}

@@ -11,16 +11,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import shared_table, table, text_or_empty
 
 K, S = 3, 1
-#: Rows in a run of neighbours in doc_id order, on the average.
-RUN_ROWS = 1000
-#: Runs at most, of more rows each where there are very many rows.
-MOST_RUNS = 100_000
+#: Different rows in a run of neighbours in doc_id order.
+RUN_ROWS = 256
+#: The first keys of so many runs at most, and those of as many parts of each of them, are known to every task (24 MB at most):
+#: there are a million runs at most, which grow longer beyond RUN_ROWS times so many rows.
+FAN = 1 << 10
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -85,29 +87,68 @@ def best_shift(a: Column, b: Column) -> Column:
     return _let(moves, lambda m: F.get(F.array_sort(F.transform(F.array_distinct(m), lambda v: F.struct((-F.size(F.filter(m, lambda w: w == v))).alias("n"), v.alias("by")))), F.lit(0))["by"])
 
 
-def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", run_rows: int = RUN_ROWS) -> DataFrame:
-    """``docs`` with ``next_<c>`` for each column: the value in the next row by descending key; after the last, the first.
+def _ahead(holds: Callable[[Column], Column], step: int) -> Callable[[Column], Column]:
+    """i + step if ``holds`` of the place before that, else i; a function of one argument, for a second one would be the index."""
+    return lambda i: F.when(holds(i + F.lit(step - 1)), i + F.lit(step)).otherwise(i)
 
-    Rows are dealt into runs of neighbouring keys by integer division, at most MOST_RUNS of
-    them, so that each run is sorted apart and no task sees all rows. The first row of
-    every run also goes to the run before it and closes that, so whole rows are shuffled
-    once. Ties are ordered by text; null keys come last.
+
+def _how_many(starts: tuple[Column, ...], most: int, key: tuple[Column, ...]) -> Column:
+    """How many of the ascending ``starts`` (an array for each part of a key, of ``most`` values at most) aren't greater than ``key``, by halving."""
+
+    def at_most(i: Column) -> Column:
+        """Whether the i-th start isn't greater than the key."""
+        out = F.get(starts[-1], i) <= key[-1]
+        for array, part in zip(starts[-2::-1], key[-2::-1]):
+            out = (F.get(array, i) < part) | ((F.get(array, i) == part) & out)
+        return F.coalesce(out, F.lit(False))
+
+    at, step = F.lit(0), 1 << max(0, most.bit_length() - 1)
+    while step:
+        at = _let(at, _ahead(at_most, step))
+        step >>= 1
+    return at
+
+
+def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id", run_rows: int = RUN_ROWS) -> DataFrame:
+    """``docs`` with ``next_text``: the text of the next row by descending key; after the last, the first.
+
+    key: an integer column, of any range; nulls come last. Ties are ordered by the texts'
+    hashes. Texts aren't null. Keys and hashes alone are put in order first, by a range
+    partitioning, and every run_rows-th of them starts a run: whatever the keys, a run has
+    so many different rows at most, and a run's first row also goes to the run before it
+    and closes that, so whole rows are shuffled once. Of rows that repeat more than
+    run_rows times, equal in key and text, all but some are followed by their own text
+    wherever they are; they are dealt out apart from their run.
     """
-    k = F.coalesce(F.col(key), F.lit(-(2**63)).cast("long"))
-    low, high, n = docs.agg(F.min(key), F.max(key), F.count("*")).head()
-    width = max(1, (high - low + 1) // MOST_RUNS + 1, ((high - low + 1) * run_rows) // n) if low is not None else 1
-    run = F.when(F.col(key).isNull(), F.lit(-1).cast("long")).otherwise(F.floor((F.col(key) - F.lit(low or 0)) / F.lit(width)))
-    dealt = docs.withColumns({"_k": k, "_run": run})
-    # one row per run, MOST_RUNS + 1 at most
-    falling = Window.orderBy(F.desc("_run"))
-    first = dealt.groupBy("_run").agg(F.max("_k").alias("_k"))
-    first = first.withColumn("_before", F.coalesce(F.lag("_run").over(falling), F.min("_run").over(Window.partitionBy())))
-    marked = dealt.join(F.broadcast(first), ["_run", "_k"], "left")
-    own, closing = F.struct(F.col("_run").alias("run"), F.lit(False).alias("closes")), F.struct(F.col("_before").alias("run"), F.lit(True).alias("closes"))
-    both = marked.withColumn("_to", F.explode(F.when(F.col("_before").isNull(), F.array(own)).otherwise(F.array(own, closing))))
-    w = Window.partitionBy("_to.run").orderBy("_to.closes", F.desc("_k"), F.asc("text"))
-    out = both.withColumn("_next", F.lead(F.struct(*columns)).over(w)).where("not _to.closes")
-    return out.select(*docs.columns, *[F.col("_next")[c].alias(f"next_{c}") for c in columns])
+    # descending keys ascend when their bits are flipped, which can't overflow; nulls are told apart by a flag
+    flipped = F.bitwise_not(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)).cast("long")))
+    placed = docs.withColumns({"_k": flipped, "_f": F.col(key).isNull().cast("int"), "_h": F.xxhash64(text)})
+    order = ["_k", "_f", "_h"]
+    counted = placed.groupBy(*order).agg(F.count("*").alias("_n"))
+    index = F.col("_at").bitwiseAND((1 << 33) - 1)
+    ordered = counted.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    ordered = shared_table(ordered, "ordered")
+    run_rows = max(run_rows, -(-ordered.count() // (FAN * FAN - FAN)))
+    starts = sorted(tuple(r) for r in ordered.where(index % run_rows == 0).select(*order).collect())
+    # rows that repeat so often are of as many kinds as there are runs at most
+    hot = ordered.where(F.col("_n") > run_rows).select(*order, F.ceil(F.col("_n") / run_rows).alias("_parts"))
+    fine = [(i // FAN, *(list(x) for x in zip(*starts[i : i + FAN]))) for i in range(0, len(starts), FAN)]
+    fine = docs.sparkSession.createDataFrame(fine, "_coarse int, _ks array<long>, _fs array<int>, _hs array<long>")
+    own_key = tuple(F.col(c) for c in order)
+    coarse = tuple(F.lit(np.array([s[i] for s in starts[::FAN]], dtype=np.int64)) for i in range(3))
+    part = F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("_id"), F.col("_parts")))
+    dealt = placed.withColumns({"_id": F.monotonically_increasing_id(), "_coarse": _how_many(coarse, FAN, own_key) - 1})
+    dealt = dealt.join(F.broadcast(hot), order, "left").join(F.broadcast(fine), "_coarse")
+    within = _how_many((F.col("_ks"), F.col("_fs"), F.col("_hs")), FAN, own_key) - 1
+    dealt = dealt.withColumns({"_part": part, "_within": within})
+    is_first = (F.col("_part") == 0) & (F.struct(*(F.get(c, F.col("_within")) for c in ("_ks", "_fs", "_hs"))) == F.struct(*order))
+    dealt = dealt.withColumn("_run", F.col("_coarse") * FAN + F.col("_within"))
+    to = lambda run, part, closes: F.struct(run.alias("run"), part.cast("long").alias("part"), F.lit(closes).alias("closes"))
+    own, closing = to(F.col("_run"), F.col("_part"), False), to(F.pmod(F.col("_run") - 1, F.lit(max(1, len(starts)))), F.lit(0), True)
+    both = dealt.withColumn("_to", F.explode(F.when(is_first, F.array(own, closing)).otherwise(F.array(own))))
+    w = Window.partitionBy("_to.run", "_to.part").orderBy("_to.closes", *order)
+    following = F.when(F.col("_to.part") > 0, F.col(text)).otherwise(F.lead(text).over(w))
+    return both.withColumn("next_text", following).where("not _to.closes").select(*docs.columns, "next_text")
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -119,7 +160,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     Repeated rows are documents of their own. Other columns are ignored; no rows give none.
     """
     # anchors of the next text are found anew after the shuffle; they would be as large as the text
-    both = with_next(docs.select("doc_id", text_or_empty().alias("text")), ["text"])
+    both = with_next(docs.select("doc_id", text_or_empty().alias("text")))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))

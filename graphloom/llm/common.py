@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space; ``bytes.split()`` has the same rule.
@@ -67,3 +68,34 @@ def ascii_lower(c: Column) -> Column:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once and not at each use. A body of two arguments would get an index too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def how_many(holds: Callable[[Column], Column], most: int) -> Column:
+    """How many of the places 0, 1, ... below ``most`` hold, by halving; those that do come first, and null doesn't."""
+
+    def ahead(step: int) -> Callable[[Column], Column]:
+        return lambda i: F.when(F.coalesce(holds(i + F.lit(step - 1)), F.lit(False)), i + F.lit(step)).otherwise(i)
+
+    at, step = F.lit(0), 1 << max(0, most.bit_length() - 1)
+    while step:
+        at = let(at, ahead(step))
+        step >>= 1
+    return at
+
+
+def numbered(rows: DataFrame, key: Sequence[str], order: str, name: str, parts: int = 64) -> DataFrame:
+    """``rows`` with ``name``: 1, 2, ... within each key. ``order`` tells rows apart and must be fixed; a hot key is numbered in parts."""
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64(order), F.lit(parts)).cast("int"))
+    key_of = F.struct(*key).alias("_key_of")
+    counts = rows.groupBy(key_of, "_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_key_of").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("_key_of", "_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("_key_of", "_part").orderBy(order))
+    # a struct of nulls equals another one, so null keys find their counts
+    out = rows.withColumn("_key_of", key_of).withColumn("_nth_of", nth).join(counts, ["_key_of", "_part"])
+    return out.withColumn(name, F.col("_nth_of") + F.col("_before")).drop("_key_of", "_part", "_nth_of", "_before")

@@ -13,17 +13,18 @@ import hashlib
 from collections import deque
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shield, table, text_or_empty
+from .common import how_many, shared_table, shield, table, text_or_empty
 
 SHARDS = 40
 #: Virtual nodes a shard has.
 VNODES = 64
-#: Parts of an arc that are ranked apart.
-SUB_BINS = 64
+#: Parts of an arc that are ranked apart, and parts into which rows are dealt that are equal in key and tie and make up more
+#: than one in HOT_SHARE of all rows (and HOT_ROWS at least).
+SUB_BINS, SALTS, HOT_SHARE, HOT_ROWS = 64, 64, 1000, 4096
 _RING = 2**32
 
 
@@ -67,60 +68,47 @@ def assign_shards(rows: DataFrame, key: Sequence[str], shards: int = SHARDS, vno
     key: columns that give a row's place on the ring; nulls hash like any value. tie:
     further columns that order rows with one key, so that a hot key's rows are ranked in
     several bins and spread over shards with room. Rows equal in key and tie are placed in
-    any order. With slack 0 row counts differ by one at most; with more, shards hold up to
+    any order, very many of them in parts. Rows are written once, so keep payload columns few. With slack 0 row counts differ by one at most; with more, shards hold up to
     (1 + slack) times the mean and fewer rows move when shards are added. Input columns
     named shard or slot are replaced. Empty input gives no rows.
     """
     nodes = ring(shards, vnodes)
     rows, restored = shield(rows.select(*[c for c in rows.columns if c not in ("shard", "slot")]), *key, *tie)
-    keep = rows.columns
-    bounds = [p for p, _ in nodes]
-    position = F.pmod(F.xxhash64(*key), F.lit(_RING))
+    bounds = F.array(*[F.lit(p) for p, _ in nodes])
     # an arc ends at its virtual node: the first one at or after the position, clockwise
-    starts = F.array(*[F.lit(b) for b in bounds])
-    arc = F.when(position > bounds[-1], 0).otherwise(_lower_bound(starts, position, len(bounds)))
+    arc = how_many(lambda i: F.get(bounds, i) < F.col("_position"), len(nodes)) % len(nodes)
     sub = F.pmod(F.xxhash64(*key, *tie, F.lit(7)), F.lit(SUB_BINS)).cast("int")
-    binned = rows.select(*keep, arc.cast("int").alias("_arc"), sub.alias("_sub"), F.xxhash64(*key, *tie, F.lit(11)).alias("_tie"))
-    # shards x vnodes x SUB_BINS counts at most, whatever the input
-    counted = binned.groupBy("_arc", "_sub").count().collect()
-    by_arc = [[0] * SUB_BINS for _ in bounds]
-    for r in counted:
-        by_arc[r["_arc"]][r["_sub"]] = r["count"]
-    counts = [sum(x) for x in by_arc]
+    binned = rows.withColumns({"_position": F.pmod(F.xxhash64(*key), F.lit(_RING)), "_sub": sub, "_tie": F.xxhash64(*key, *tie, F.lit(11)), "_id": F.monotonically_increasing_id()})
+    binned = shared_table(binned.withColumn("_arc", arc.cast("int")).drop("_position"), "binned")
+    # equal rows in great number, HOT_SHARE different ones at most, are told apart by where they lie
+    alike = binned.groupBy("_arc", "_sub", "_tie").agg(F.count("*").alias("_n"))
+    hot = alike.where(F.col("_n") > max(HOT_ROWS, binned.count() // HOT_SHARE)).select("_arc", "_sub", "_tie", F.lit(True).alias("_hot"))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("_id"), F.lit(SALTS)) + 1).otherwise(0)
+    binned = binned.join(F.broadcast(hot), ["_arc", "_sub", "_tie"], "left").withColumn("_salt", salt.cast("int")).drop("_hot")
+    # (shards x vnodes x SUB_BINS) + (HOT_SHARE x SALTS) counts at most, whatever the input
+    counted = sorted(map(tuple, binned.groupBy("_arc", "_sub", "_salt").count().collect()))
+    by_arc: list[list[tuple[int, int, int]]] = [[] for _ in nodes]
+    for a, s, z, n in counted:
+        by_arc[a].append((s, z, n))
+    counts = [sum(n for _, _, n in x) for x in by_arc]
     runs = place_arcs(counts, [s for _, s in nodes], capacities(sum(counts), shards, slack))
     plan = []
     for a, subs in enumerate(by_arc):
         before = 0
-        for s, n in enumerate(subs):
-            if n:
-                plan.append((a, s, before, [r for i, r in enumerate(runs[a]) if r[0] < before + n and (i + 1 == len(runs[a]) or runs[a][i + 1][0] > before)]))
+        for s, z, n in subs:
+            plan.append((a, s, z, before, [r for i, r in enumerate(runs[a]) if r[0] < before + n and (i + 1 == len(runs[a]) or runs[a][i + 1][0] > before)]))
             before += n
     run = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())]))
-    schema = T.StructType([T.StructField("_arc", T.IntegerType()), T.StructField("_sub", T.IntegerType()), T.StructField("_before", T.LongType()), T.StructField("_runs", run)])
+    schema = T.StructType([T.StructField("_arc", T.IntegerType()), T.StructField("_sub", T.IntegerType()), T.StructField("_salt", T.IntegerType()), T.StructField("_before", T.LongType()), T.StructField("_runs", run)])
     placed = F.broadcast(rows.sparkSession.createDataFrame(plan, schema))
-    ranked = binned.withColumn("_rank", F.row_number().over(Window.partitionBy("_arc", "_sub").orderBy("_tie")) - 1)
-    ranked = ranked.join(placed, ["_arc", "_sub"])
+    ranked = binned.withColumn("_rank", F.row_number().over(Window.partitionBy("_arc", "_sub", "_salt").orderBy("_tie", "_id")) - 1)
+    ranked = ranked.join(placed, ["_arc", "_sub", "_salt"])
     ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before"))
     mine = F.element_at(F.filter("_runs", lambda r: r["first"] <= F.col("_rank")), -1)
     ranked = ranked.withColumn("_run", mine)
     return ranked.select(*restored, F.col("_run.shard").alias("shard"), (F.col("_run.slot") + F.col("_rank") - F.col("_run.first")).cast("long").alias("slot"))
 
 
-def _lower_bound(sorted_values: Column, x: Column, n: int) -> Column:
-    """How many of the n ascending values are smaller than x, by halving."""
-    at = F.lit(0)
-    step = 1 << (n.bit_length() - 1)
-    while step:
-        at = _let(at, lambda i, step=step: F.when(F.coalesce(F.get(sorted_values, i + F.lit(step - 1)) < x, F.lit(False)), i + F.lit(step)).otherwise(i))
-        step >>= 1
-    return at
-
-
-def _let(value: Column, body) -> Column:
-    """``body`` of ``value``, which is evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) of every document; null text counts as empty."""
     text = F.encode(text_or_empty(), "UTF-8")

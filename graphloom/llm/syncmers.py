@@ -9,13 +9,11 @@ align matching passages.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_table, table, text_or_empty
+from .common import how_many, let, shared_table, table, text_or_empty
 
 K, S = 3, 1
 #: Different rows in a run of neighbours in doc_id order.
@@ -25,11 +23,6 @@ RUN_ROWS = 256
 FAN = 1 << 10
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, which is evaluated once and not at each use."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _word_hashes(text: Column) -> Column:
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     return F.transform(words, lambda w: F.xxhash64(w))
@@ -53,11 +46,11 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
 
     def of_words(h: Column) -> Column:
         piece = lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(s)])
-        many = _let(F.transform(F.sequence(F.lit(0), F.size(h) - s), piece), lambda m: of_pieces(h, m))
+        many = let(F.transform(F.sequence(F.lit(0), F.size(h) - s), piece), lambda m: of_pieces(h, m))
         one = F.array(F.struct(F.xxhash64(h).alias("hash"), F.lit(0).alias("pos")))
         return F.when(F.size(h) >= k, many).when(F.size(h) > 0, one).otherwise(F.slice(one, 1, 0))
 
-    return _let(_word_hashes(F.coalesce(text, F.lit(""))), of_words)
+    return let(_word_hashes(F.coalesce(text, F.lit(""))), of_words)
 
 
 def as_text(anchor: Column) -> Column:
@@ -74,7 +67,7 @@ def likeness(a: Column, b: Column) -> Column:
         every = F.size(x["a"]) + F.size(x["b"]) - shared
         return F.when(every == 0, F.lit(1.0)).otherwise(shared / every)
 
-    return _let(F.struct(hashes(a).alias("a"), hashes(b).alias("b")), of_sets)
+    return let(F.struct(hashes(a).alias("a"), hashes(b).alias("b")), of_sets)
 
 
 def best_shift(a: Column, b: Column) -> Column:
@@ -84,29 +77,19 @@ def best_shift(a: Column, b: Column) -> Column:
     arrays' lengths.
     """
     moves = F.flatten(F.transform(a, lambda x: F.transform(F.filter(b, lambda y: y["hash"] == x["hash"]), lambda y: y["pos"] - x["pos"])))
-    return _let(moves, lambda m: F.get(F.array_sort(F.transform(F.array_distinct(m), lambda v: F.struct((-F.size(F.filter(m, lambda w: w == v))).alias("n"), v.alias("by")))), F.lit(0))["by"])
-
-
-def _ahead(holds: Callable[[Column], Column], step: int) -> Callable[[Column], Column]:
-    """i + step if ``holds`` of the place before that, else i; a function of one argument, for a second one would be the index."""
-    return lambda i: F.when(holds(i + F.lit(step - 1)), i + F.lit(step)).otherwise(i)
+    return let(moves, lambda m: F.get(F.array_sort(F.transform(F.array_distinct(m), lambda v: F.struct((-F.size(F.filter(m, lambda w: w == v))).alias("n"), v.alias("by")))), F.lit(0))["by"])
 
 
 def _how_many(starts: tuple[Column, ...], most: int, key: tuple[Column, ...]) -> Column:
-    """How many of the ascending ``starts`` (an array for each part of a key, of ``most`` values at most) aren't greater than ``key``, by halving."""
+    """How many of the ascending ``starts`` (an array for each part of a key, of ``most`` values at most) aren't greater than ``key``."""
 
     def at_most(i: Column) -> Column:
-        """Whether the i-th start isn't greater than the key."""
         out = F.get(starts[-1], i) <= key[-1]
         for array, part in zip(starts[-2::-1], key[-2::-1]):
             out = (F.get(array, i) < part) | ((F.get(array, i) == part) & out)
-        return F.coalesce(out, F.lit(False))
+        return out
 
-    at, step = F.lit(0), 1 << max(0, most.bit_length() - 1)
-    while step:
-        at = _let(at, _ahead(at_most, step))
-        step >>= 1
-    return at
+    return how_many(at_most, most)
 
 
 def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id", run_rows: int = RUN_ROWS) -> DataFrame:

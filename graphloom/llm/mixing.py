@@ -11,14 +11,13 @@ taken size differs from its target by less than one row's size.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, shared_table, shield, table
+from .common import WORD, numbered, shared_table, shield, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -32,28 +31,40 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _with_place(totals: DataFrame) -> DataFrame:
+    """``totals`` with ``_place``: the rank of ``source`` by code points from 0, null last. Sorted in parts; each part's size tells where the next begins."""
+    by = F.col("source").asc_nulls_last()
+    at = shared_table(totals.repartitionByRange(by).sortWithinPartitions(by).withColumn("_at", F.monotonically_increasing_id()), "sources")
+    part, index = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    # a row per partition
+    sizes = sorted(tuple(r) for r in at.groupBy(part.alias("part")).count().collect())
+    before, starts = 0, []
+    for number, n in sizes:
+        starts.append((number, before))
+        before += n
+    starts = totals.sparkSession.createDataFrame(starts, "_part long, _before long")
+    return at.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn("_place", index + F.col("_before")).drop("_at", "_part", "_before")
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES) -> DataFrame:
     """(source, source_size, target) of rows (source, size).
 
     Sources in the order of their code points, null last, take the weights in turn and
     share ``share`` times all sizes; a target stops at ``most`` times its source's size
-    and the excess is shared anew by weight. That is one water level: sources are sorted
-    by the level at which they fill, and prefix sums tell how many are full. Works on one
-    row per source.
+    and the excess is shared anew by weight, in rounds, until none is above. A round is one
+    aggregate over a row per source; sources may be any number.
     """
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    nth = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    out = totals.withColumn("_w", F.get(F.array(*[F.lit(float(w)) for w in weights]), (nth % len(weights)).cast("int")))
-    out = out.withColumns({"_cap": most * F.col("source_size"), "_all": F.sum("source_size").over(Window.partitionBy())})
-    out = out.withColumn("_fill", F.col("_cap") / F.col("_w"))
-    before = Window.orderBy("_fill", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    rest = Window.orderBy("_fill", F.col("source").asc_nulls_last()).rowsBetween(0, Window.unboundedFollowing)
-    level = (share * F.col("_all") - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("_w").over(rest)
-    place = F.row_number().over(Window.orderBy("_fill", F.col("source").asc_nulls_last()))
-    out = out.withColumns({"_level": level, "_place": place})
-    # the first source that doesn't fill at its own level sets the level of all after it
-    found = F.min(F.when(F.col("_level") < F.col("_fill"), F.struct("_place", "_level"))).over(Window.partitionBy())["_level"]
-    return out.withColumn("target", F.when(found.isNull() | (F.col("_fill") <= found), F.col("_cap")).otherwise(F.col("_w") * found)).select("source", "source_size", "target")
+    totals = _with_place(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_place") % len(weights)).cast("int"))
+    out = shared_table(totals.select("source", "source_size", weight.alias("_w"), (most * F.col("source_size")).alias("_cap")), "targets")
+    whole, level, full_before = share * (out.agg(F.sum("source_size")).head()[0] or 0), 0.0, -1
+    while True:
+        full = F.col("_cap") <= F.col("_w") * level
+        capped, weighed, n = out.agg(F.sum(F.when(full, F.col("_cap"))), F.sum(F.when(~full, F.col("_w"))), F.count_if(full)).head()
+        if not weighed or n == full_before:
+            break
+        level, full_before = max(level, (whole - (capped or 0.0)) / weighed), n
+    return out.select("source", "source_size", F.least("_cap", F.col("_w") * level).alias("target"))
 
 
 def _coin(seed: int, level: int, key: object) -> float:
@@ -125,43 +136,54 @@ def pivotal_copies(rows: DataFrame, group: str, seed: int = 0, chunk: int = CHUN
     return out.select(*kept, (F.col("_whole") + F.when(F.col("size") > 0, F.col("_p")).otherwise(0)).cast("long").alias("copies"))
 
 
+def _wanted(groups: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
+    """(group columns, source_size, target, want, _key) for each row that the groups of equal rows (doc_id, source, size, ..., n) stand for."""
+    targets = source_targets(groups.select("source", (F.col("size") * F.col("n")).alias("size")), weights, share, most).withColumnRenamed("source", "_s")
+    # the sources are sized at run time before they are broadcast; a large list of them is a skew-handled join
+    wanted = groups.join(targets, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
+    # equal rows are numbered by counting, in two steps, so that no array has a number for each of very many
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(CHUNK).cast("long")))
+    wanted = wanted.withColumn("_first", first).withColumn("_nth", F.explode(F.sequence(F.col("_first"), F.least(F.col("_first") + CHUNK, F.col("n")) - 1)))
+    own = [c for c in groups.columns if c != "n"]
+    # nulls are told from any text by the length before it
+    said = [F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in own]
+    return wanted.select(*own, "source_size", "target", ratio.alias("want"), F.concat_ws(":", *said, F.col("_nth").cast("string")).alias("_key"), "_nth")
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, seed: int = 0) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, copies) for each row of ``docs``.
 
     Null text has size 0; a null source is a source of its own, last in order. Rows of
-    size 0 are taken 0 words. Repeated rows are rounded one by one. Other columns of
-    ``docs`` are ignored, so clashing names do no harm. Equal input gives equal output,
-    whatever the partitions. An empty table gives no rows.
+    size 0 are taken 0 words. Rows equal in doc_id, source and size are rounded one by one,
+    each with a coin of its own, whatever their number; null ids are equal to each other.
+    Other columns of ``docs`` are ignored, so clashing names do no harm. Equal input gives
+    equal output, whatever the partitions. An empty table gives no rows.
     """
-    sizes = shared_table(docs.select("doc_id", "source", words_in(F.col("text")).alias("size")), "sizes")
-    targets = source_targets(sizes, weights, share, most).withColumnRenamed("source", "_s")
-    # the few sources are sized at run time before they are broadcast; a large list of them is a skew-handled join
-    wanted = sizes.join(targets, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(0)))
-    wanted = wanted.withColumns({"want": ratio, "_key": F.concat_ws(":", F.col("doc_id").cast("string"), nth.cast("string"))})
-    copies = pivotal_copies(wanted, "source", seed)
+    groups = docs.select("doc_id", "source", words_in(F.col("text")).alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
+    copies = pivotal_copies(_wanted(shared_table(groups, "sizes"), weights, share, most), "source", seed)
     return copies.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def mix_rows(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, seed: int = 0) -> DataFrame:
     """Whole rows of ``docs``, each as often as the mix takes it; columns stay.
 
-    Rows of size 0 stay once, since they weigh nothing. Rows with one doc_id, source and size
-    share what the mix takes of them, in the order of their texts. Texts are shuffled once
-    and never written; the table of copies has no size bound and isn't broadcast.
+    Rows of size 0 stay once, since they weigh nothing. Rows equal in doc_id, source, size
+    and text's hash share what the mix takes of them in any order. Rows are numbered and
+    written once; their texts are shuffled once, to their number of copies.
     """
     docs, restored = shield(docs, "doc_id", "source", "text")
+    rows = shared_table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    light = shared_table(rows.select("_row", "doc_id", "source", words_in(F.col("text")).alias("size"), F.xxhash64("text").alias("tag")), "sizes")
+    own = ["doc_id", "source", "size", "tag"]
+    groups = shared_table(light.groupBy(*own).agg(F.count("*").alias("n")), "groups")
+    copies = pivotal_copies(_wanted(groups, weights, share, most), "source", seed)
+    copies = copies.select(F.struct(*own, F.col("_nth").alias("nth")).alias("_of"), F.greatest("copies", (F.col("size") == 0).cast("long")).alias("_copies")).where("_copies > 0")
+    nth = numbered(light, own, "_row", "_nth").select("_row", F.struct(*own, (F.col("_nth") - 1).alias("nth")).alias("_of"))
     # a struct of nulls equals another one, so null ids and sources find their rows
-    key = lambda size: F.struct("doc_id", "source", size.alias("size"))
-    levels = range(1, math.ceil(most) + 1)
-    at_least = [F.sum((F.greatest("copies", (F.col("size") == 0).cast("long")) >= v).cast("long")).alias(f"_c{v}") for v in levels]
-    copies = mix(docs, weights, share, most, seed).groupBy(key(F.col("size")).alias("_key")).agg(*at_least).where("_c1 > 0")
-    both = docs.withColumn("_key", key(words_in(F.col("text")))).join(copies.hint("merge"), "_key")
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy("text"))
-    taken = both.withColumn("_nth", nth).withColumn("_copies", sum((F.col("_nth") <= F.col(f"_c{v}")).cast("int") for v in levels))
-    taken = taken.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return taken.select(*restored)
+    taken = nth.join(copies, "_of").select(F.col("_row").alias("_taken"), "_copies")
+    out = rows.join(taken.hint("merge"), F.col("_row") == F.col("_taken"))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*restored)
 
 
 def op7_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,9 +19,18 @@ from .components import connected_components
 #: (verdict, rule); a rule is a host and a path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
-_CANONICAL = r"""(?i)<link[^>]{0,500}?rel=["']?canonical["']?[^>]{0,500}?href=["']([^"'>]+)["']"""
-_CANONICAL_LATE = r"""(?i)<link[^>]{0,500}?href=["']([^"'>]+)["'][^>]{0,500}?rel=["']?canonical"""
-_REFRESH = r"""(?i)<meta[^>]{0,500}?http-equiv=["']?refresh["']?[^>]{0,500}?url=([^"'>\x20]+)["']"""
+_COMMENT = r"(?s)<!--.*?(?:-->|\z)"
+_TAG = r"(?i)<(?:link|meta)[\s/][^>]*>"
+#: Character references that are decoded, the ampersand last.
+_ENTITIES = (("&(?:quot|#0*34|#[xX]0*22);", '"'), ("&(?:apos|#0*39|#[xX]0*27);", "'"), ("&(?:#0*47|#[xX]0*2[fF]);", "/"), ("&(?:#0*58|#[xX]0*3[aA]);", ":"), ("&(?:lt|#0*60|#[xX]0*3[cC]);", "<"), ("&(?:gt|#0*62|#[xX]0*3[eE]);", ">"), ("&(?:amp|#0*38|#[xX]0*26);", "&"))
+
+
+def _attribute(name: str) -> str:
+    """Matches an attribute of a whole tag; its value is in group 1, 2 or 3, by its quotes."""
+    return rf"""(?is)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+
+_REFRESH_URL = r"""(?is)url\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"']+))"""
 
 
 def host_of(url: Column) -> Column:
@@ -53,13 +62,65 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Co
     return out
 
 
+def _first_group(text: Column, pattern: str) -> Column:
+    """The one of three groups that isn't empty, or an empty string."""
+    return F.concat(*[F.regexp_extract(text, pattern, i) for i in (1, 2, 3)])
+
+
+def link_targets(html: Column) -> Column:
+    """Array of the targets that a page names: of canonical links and of refreshing metas, as they stand there, references decoded.
+
+    Attributes are read in any order and quoting, from whole tags outside comments; a rel of
+    several words counts. A page may name several; null and empty targets are left out.
+    """
+
+    def target(tag: Column) -> Column:
+        rel = _first_group(tag, _attribute("rel"))
+        link = F.when(rel.rlike(r"(?i)(?:^|\s)canonical(?:\s|$)"), _first_group(tag, _attribute("href")))
+        meta = F.when(_first_group(tag, _attribute("http-equiv")).rlike(r"(?i)^\s*refresh\s*$"), _first_group(_first_group(tag, _attribute("content")), _REFRESH_URL))
+        out = F.trim(F.coalesce(F.when(tag.rlike(r"(?i)^<link"), link).otherwise(meta), F.lit("")))
+        for pattern, sign in _ENTITIES:
+            out = F.regexp_replace(out, pattern, sign)
+        return out
+
+    tags = F.regexp_extract_all(F.regexp_replace(html, _COMMENT, " "), F.lit(_TAG), F.lit(0))
+    return F.filter(F.transform(tags, target), lambda x: x != "")
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """The absolute URL of a link target on the page ``base``; null for schemes without a host, such as mailto."""
+    path = path_of(base)
+    folder = F.when(path.contains("/"), F.regexp_extract(path, r"(?s)^(.*/)", 1)).otherwise(F.lit("/"))
+    site = F.concat(F.lit("http://"), host_of(base))
+    return (
+        F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.startswith("//"), F.concat(F.lit("http:"), target))
+        .when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(target.startswith("/"), F.concat(site, target))
+        .when(target.startswith("?"), F.concat(site, path, target))
+        .when(target.startswith("#"), base)
+        .otherwise(F.concat(site, folder, target))
+    )
+
+
+def without_dots(node: Column) -> Column:
+    """A URL node without the steps ``.`` and ``..`` in its path."""
+    host, path, query = (F.regexp_extract(node, rf"(?s)^{p}", 1) for p in (r"([^/?#]*)", r"[^/?#]*([^?#]*)", r"[^?#]*(.*)$"))
+    steps = F.slice(F.split(path, "/"), 2, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
+    ends = F.element_at(F.split(path, "/"), -1).isin(".", "..")
+    walked = F.aggregate(steps, F.array().cast("array<string>"), lambda done, step: F.when(step == ".", done).when(step == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, step)))
+    plain = F.concat(F.lit("/"), F.array_join(walked, "/"), F.when(ends & (F.size(walked) > 0), F.lit("/")).otherwise(F.lit("")))
+    return F.when(path.rlike(r"/\.\.?(?:/|$)"), F.concat(host, plain, query)).otherwise(node)
+
+
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst) of every page whose HTML names a canonical URL or a redirect target, both as URL nodes."""
-    page = F.col(url)
-    found = F.array(*[F.regexp_extract(html, p, 1) for p in (_CANONICAL, _CANONICAL_LATE, _REFRESH)])
-    out = pages.where(F.col(html).rlike(r"(?i)canonical|refresh")).select(canonical_url(page).alias("src"), page.alias("_base"), F.explode(found).alias("_to"))
-    absolute = F.when(F.col("_to").startswith("/") & ~F.col("_to").startswith("//"), F.concat(F.lit("http://"), host_of(F.col("_base")), F.col("_to"))).otherwise(F.col("_to"))
-    out = out.where("_to != ''").select("src", canonical_url(absolute).alias("dst"))
+    """(src, dst) of every page whose HTML names canonical URLs or redirect targets, both as URL nodes.
+
+    Links to the page itself, and those of pages without a host, make no edge.
+    """
+    some = pages.where(F.col(html).rlike(r"(?i)canonical|refresh"))
+    out = some.select(F.col(url).alias("_base"), F.explode(link_targets(F.col(html))).alias("_to"))
+    out = out.select(canonical_url(F.col("_base")).alias("src"), without_dots(canonical_url(resolved(F.col("_to"), F.col("_base")))).alias("dst"))
     return out.where("src is not null and dst is not null and src != dst").distinct()
 
 
@@ -105,17 +166,37 @@ WITH RECURSIVE cut AS (
     translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS tail
   FROM cut
-), links AS (
-  SELECT host || tail AS src, unnest([
-    regexp_extract(html, '(?i)<link[^>]{0,500}?rel=["'']?canonical["'']?[^>]{0,500}?href=["'']([^"''>]+)["'']', 1),
-    regexp_extract(html, '(?i)<link[^>]{0,500}?href=["'']([^"''>]+)["''][^>]{0,500}?rel=["'']?canonical', 1),
-    regexp_extract(html, '(?i)<meta[^>]{0,500}?http-equiv=["'']?refresh["'']?[^>]{0,500}?url=([^"''> ]+)["'']', 1)]) AS target, host
-  FROM part WHERE known
+), tags AS (
+  SELECT url, host, path, tail, unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?(?:-->|\z)', ' ', 'g'), '(?i)<(?:link|meta)[\s/][^>]*>')) AS tag
+  FROM (SELECT part.*, pages.url FROM part JOIN pages USING (page_id)) WHERE known
+), named_targets AS (
+  SELECT url, host, path, tail, CASE WHEN regexp_matches(tag, '(?i)^<link') THEN
+      CASE WHEN regexp_matches((regexp_extract(tag, '(?is)[\s"''/]rel\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 1) || regexp_extract(tag, '(?is)[\s"''/]rel\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 2) || regexp_extract(tag, '(?is)[\s"''/]rel\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 3)), '(?i)(?:^|\s)canonical(?:\s|$)') THEN (regexp_extract(tag, '(?is)[\s"''/]href\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 1) || regexp_extract(tag, '(?is)[\s"''/]href\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 2) || regexp_extract(tag, '(?is)[\s"''/]href\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 3)) END
+    WHEN regexp_matches((regexp_extract(tag, '(?is)[\s"''/]http-equiv\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 1) || regexp_extract(tag, '(?is)[\s"''/]http-equiv\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 2) || regexp_extract(tag, '(?is)[\s"''/]http-equiv\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 3)), '(?i)^\s*refresh\s*$') THEN (regexp_extract((regexp_extract(tag, '(?is)[\s"''/]content\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 1) || regexp_extract(tag, '(?is)[\s"''/]content\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 2) || regexp_extract(tag, '(?is)[\s"''/]content\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 3)), '(?is)url\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"'']+))', 1) || regexp_extract((regexp_extract(tag, '(?is)[\s"''/]content\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 1) || regexp_extract(tag, '(?is)[\s"''/]content\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 2) || regexp_extract(tag, '(?is)[\s"''/]content\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 3)), '(?is)url\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"'']+))', 2) || regexp_extract((regexp_extract(tag, '(?is)[\s"''/]content\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 1) || regexp_extract(tag, '(?is)[\s"''/]content\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 2) || regexp_extract(tag, '(?is)[\s"''/]content\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 3)), '(?is)url\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"'']+))', 3)) END AS raw
+  FROM tags
+), targets AS (
+  SELECT url, host, path, tail, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(raw, ' '), '&(?:quot|#0*34|#[xX]0*22);', '"', 'g'), '&(?:apos|#0*39|#[xX]0*27);', '''', 'g'), '&(?:#0*47|#[xX]0*2[fF]);', '/', 'g'), '&(?:#0*58|#[xX]0*3[aA]);', ':', 'g'), '&(?:lt|#0*60|#[xX]0*3[cC]);', '<', 'g'), '&(?:gt|#0*62|#[xX]0*3[eE]);', '>', 'g'), '&(?:amp|#0*38|#[xX]0*26);', '&', 'g') AS t FROM named_targets WHERE raw <> ''
+), absolute AS (
+  SELECT host || tail AS src, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t
+    WHEN starts_with(t, '//') THEN 'http:' || t
+    WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN starts_with(t, '/') THEN 'http://' || host || t
+    WHEN starts_with(t, '?') THEN 'http://' || host || path || t
+    WHEN starts_with(t, '#') THEN url
+    ELSE 'http://' || host || CASE WHEN contains(path, '/') THEN regexp_extract(path, '(?s)^(.*/)', 1) ELSE '/' END || t END AS u
+  FROM targets WHERE t <> ''
+), cut_target AS (
+  SELECT src, substr(u, strpos(u, '://') + 3) AS r FROM absolute WHERE strpos(u, '://') > 0
+), dotted AS (
+  SELECT src, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS h,
+    regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS p, regexp_extract(r, '(?s)^[^?#]*(\?[^#]*)', 1) AS q FROM cut_target
+), undotted AS (
+  SELECT src, h, q, CASE WHEN regexp_matches(p, '/\.\.?$') THEN p || '/' ELSE p END AS p, 0 AS n FROM dotted
+  UNION ALL
+  SELECT src, h, q, CASE WHEN contains(p, '/./') THEN replace(p, '/./', '/') WHEN starts_with(p, '/../') THEN substr(p, 4) ELSE regexp_replace(p, '/[^/]*/\.\./', '/') END, n + 1
+  FROM undotted WHERE contains(p, '/./') OR contains(p, '/../')
 ), edge AS (
-  SELECT src, translate(regexp_extract(t, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(t, '^[^/?#]*([^#]*)', 1) AS dst
-  FROM (SELECT src, substr(u, strpos(u, '://') + 3) AS t FROM
-    (SELECT src, CASE WHEN target LIKE '/%' AND target NOT LIKE '//%' THEN 'http://' || host || target ELSE target END AS u FROM links WHERE target <> '')
-    WHERE strpos(u, '://') > 0)
+  SELECT DISTINCT src, h || p || q AS dst FROM undotted WHERE NOT (contains(p, '/./') OR contains(p, '/../')) AND src <> h || p || q
 ), both_ways AS (SELECT src, dst FROM edge UNION SELECT dst, src FROM edge),
 reach AS (SELECT src AS node, src AS other FROM both_ways UNION SELECT r.node, b.dst FROM reach r JOIN both_ways b ON r.other = b.src),
 rules AS (SELECT * FROM (VALUES ('block', 'net', '/', 'net/'), ('allow', 'example.net', '/en/', 'example.net/en/'), ('block', 'example.com', '/de/', 'example.com/de/'), ('allow', 'org', '/fr/', 'org/fr/')) t(says, h, p, rule)),

@@ -1,15 +1,19 @@
-"""Near-copies by true shingle similarity: MinHash bands find candidates, whole shingle sets decide.
-
-A text is its set of five-word shingles. Two texts whose sets have a Jaccard likeness of
-LEAST or more share one of the BANDS keys of ROWS minima each with a probability of 0.9996
-or more; every pair that could decide is then compared by its whole sets, so that no document
-goes without a kept one that is LEAST or more like it.
-
-Documents are settled in order of id, in rounds. One that is the smallest of what is left in
-all its bands stays; those that share a band with it are compared to it and go if alike, and
-the others go on without it. A band's documents are compared to its smallest only, so that a
-round is linear in the rows however many share a band. As soon as the bands' pairs are PAIRS
-a row at most, all that are left are compared at once, and rounds go over the alike ones.
+"""Near-copies by true shingle similarity: SimHash classes and MinHash bands find candidates, whole shingle sets decide.
+
+A text is its set of five-word shingles. Candidates of each other are the texts of one class
+of ball hashing (``simhash.near_classes``), which are all but equal, and those that share one
+of the BANDS keys of ROWS minima each, for at a likeness of LEAST fingerprints differ in more
+bits than balls can reach. Two texts whose sets have a Jaccard likeness of LEAST or more share
+a key with a probability of 0.9996 or more; every pair that could decide is then compared, by
+size and sketch and at last by its whole sets, so that no document goes without a kept one
+that is LEAST or more like it.
+
+Documents are settled in order of id, in rounds. All that share a key are compared to the
+smallest ones with that key that are left: to one of them in the first round, two in the next,
+four, and so on. A document that has met all smaller ones stays unless one of them that stays is
+like it. So the rounds grow with the logarithm of the unlike documents that share a key, and
+alike ones, however many, meet few others. As soon as the keys' pairs are PAIRS a row at most,
+all that are left are compared at once.
 """
 
 from __future__ import annotations
@@ -23,12 +27,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import shared_table, shield, text_or_empty
-from .simhash import _signed
+from .simhash import _signed, near_classes
 
 SHINGLE = 5
 #: The least Jaccard likeness of near-copies.
 LEAST = 0.8
 BANDS, ROWS = 20, 5
+#: Of BANDS * ROWS minima, pairs must share so many for their sets to be compared; at LEAST they have fewer twice in a million.
+SKETCHED = 60
 #: Shingles whose minima are taken at once; bounds memory for long texts.
 _BLOCK = 1 << 12
 #: Once bands have no more than so many pairs a row, all pairs that are left are compared at once.
@@ -47,25 +53,34 @@ def _multipliers() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
-def band_keys(hashes: np.ndarray, by: tuple[np.ndarray, np.ndarray]) -> list[int]:
-    """A signed 64-bit key a band; sets without shingles share theirs."""
+def minima(hashes: np.ndarray, by: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The least of BANDS * ROWS hashes of the set."""
     least = np.full(BANDS * ROWS, 0xFFFFFFFF, dtype=np.uint32)
     for at in range(0, len(hashes), _BLOCK):
         # the high halves of a multiplication are well mixed
         mixed = ((hashes[at : at + _BLOCK] ^ by[1][:, None]) * by[0][:, None]) >> np.uint64(32)
         np.minimum(least, mixed.min(axis=1).astype(np.uint32), out=least)
+    return least
+
+
+def band_keys(least: np.ndarray) -> list[int]:
+    """A signed 64-bit key a band; sets without shingles share theirs."""
     return [_signed(xxhash.xxh64_intdigest(row.tobytes(), i)) for i, row in enumerate(least.reshape(BANDS, ROWS))]
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     by = _multipliers()
     for batch in batches:
-        whole, bands = [], []
+        whole, bands, sizes, sketches = [], [], [], []
         for cell in batch.column(2):
             hashes = shingle_set(cell.as_py())
             whole.append(xxhash.xxh3_128_digest(hashes.tobytes()))
-            bands.append(band_keys(hashes, by))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(whole, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "h", "whole", "bands"])
+            least = minima(hashes, by)
+            bands.append(band_keys(least))
+            sizes.append(len(hashes))
+            sketches.append(least.astype("<u2").tobytes())
+        columns = [batch.column(0), batch.column(1), pa.array(whole, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "whole", "bands", "size", "sketch"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,6 +89,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), made], names=["id", "shingles"])
 
 
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sketches have SKETCHED minima in common."""
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype="<u2").reshape(len(batch), -1) for i in (2, 3))
+        yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["id", "hub"]).filter(pa.array((a == b).sum(axis=1) >= SKETCHED))
+
+
 def _alike(least: float):
     """The pairs whose sets are ``least`` or more alike."""
 
@@ -102,13 +124,14 @@ def dedup(docs: DataFrame, key: str = "doc_id", least: float = LEAST, most_pairs
     kind = docs.schema[key].dataType.simpleString()
     named = docs.where(F.col(key).isNotNull()).withColumn("_h", F.xxhash64(text_or_empty()))
     made = named.select(F.col(key).alias("id"), F.col("_h").alias("h"), F.encode(text_or_empty(), "UTF-8").alias("_text"))
-    rows = made.mapInArrow(_signatures, f"id {kind}, h long, whole binary, bands array<long>")
+    rows = made.mapInArrow(_signatures, f"id {kind}, h long, whole binary, bands array<long>, size long, sketch binary")
     nth = F.row_number().over(Window.partitionBy("id").orderBy("h"))
     rows = shared_table(rows.withColumn("_n", nth).where("_n = 1").drop("_n"), "signatures")
     firsts = rows.groupBy("whole").agg(F.min("id").alias("id")).select("id")
-    firsts = shared_table(rows.join(firsts, "id", "left_semi").select("id", "h", "bands"), "firsts")
+    firsts = shared_table(rows.join(firsts, "id", "left_semi").select("id", "h", "bands", "size", "sketch"), "firsts")
 
-    spread = firsts.select("id", F.explode("bands").alias("band"))
+    classes = near_classes(named, key, SHINGLE).select(F.col(key).alias("id"), F.xxhash64(F.lit("class"), "component_id").alias("band")).distinct()
+    spread = firsts.select("id", F.explode("bands").alias("band")).unionByName(classes.join(firsts.select("id"), "id", "left_semi"))
     shared = spread.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     left = shared_table(spread.hint("merge").join(shared, "band", "left_semi"), "bands")
     waiting = left.select("id").distinct()
@@ -116,36 +139,40 @@ def dedup(docs: DataFrame, key: str = "doc_id", least: float = LEAST, most_pairs
     sets = chosen.select(F.col(key).alias("id"), F.encode(text_or_empty(), "UTF-8").alias("_text")).mapInArrow(_sets, f"id {kind}, shingles binary")
     sets = shared_table(sets.dropDuplicates(["id"]), "sets")
 
+    sketches = firsts.join(waiting, "id", "left_semi").select("id", "size", "sketch")
+
     def compared(met: DataFrame) -> DataFrame:
         """Those of the pairs (id, hub) that are alike."""
-        one, other = sets.select("id", "shingles"), sets.select(F.col("id").alias("hub"), F.col("shingles").alias("others"))
-        pairs = met.join(one, "id").hint("merge").join(other, "hub").select("id", "hub", "shingles", "others")
+        of = lambda table, column, name: table.select(F.col("id").alias(name), F.col(column).alias(f"_{name}"), *([F.col("size").alias(f"_{name}_size")] if column == "sketch" else []))
+        pairs = met.join(of(sketches, "sketch", "id"), "id").hint("merge").join(of(sketches, "sketch", "hub"), "hub")
+        # sets of sizes too unlike can't be alike
+        pairs = pairs.where(F.least("_id_size", "_hub_size") >= F.lit(least) * F.greatest("_id_size", "_hub_size")).select("id", "hub", "_id", "_hub")
+        some = shared_table(pairs.mapInArrow(_sketched, f"id {kind}, hub {kind}"), "sketched")
+        pairs = some.join(of(sets, "shingles", "id"), "id").hint("merge").join(of(sets, "shingles", "hub"), "hub").select("id", "hub", "_id", "_hub")
         return pairs.mapInArrow(_alike(least), f"id {kind}, hub {kind}")
 
-    gone, links = rows.select("id").limit(0), None
+    gone, most = rows.select("id").limit(0), 1
     while not left.isEmpty():
         n = F.col("n")
-        rows_left, pairs_left = left.groupBy("band").agg(F.count("*").alias("n")).agg(F.sum(n), F.sum(n * (n - 1) / 2)).head()
+        rows_left, pairs_left, largest = left.groupBy("band").agg(F.count("*").alias("n")).agg(F.sum(n), F.sum(n * (n - 1) / 2), F.max(n)).head()
         if pairs_left <= most_pairs * rows_left:
-            hub = left.select("band", F.col("id").alias("hub"))
-            met = left.hint("merge").join(hub, "band").where("hub < id").select("id", "hub").distinct()
-            links = shared_table(compared(shared_table(met, "met")), "links")
-            break
-        least_of = left.groupBy("band").agg(F.min("id").alias("hub"))
-        hubs = left.hint("merge").join(least_of, "band")
-        # of what is left, the smallest in all its bands
-        stays = hubs.groupBy("id").agg(F.min("hub").alias("least")).where("id = least").select(F.col("id").alias("hub"))
-        met = shared_table(hubs.where("id != hub").select("id", "hub").distinct().join(stays, "hub", "left_semi"), "met")
-        drop = shared_table(compared(met).select("id").distinct(), "gone")
-        gone = gone.unionAll(drop)
-        done = drop.unionAll(stays.select(F.col("hub").alias("id")))
-        left = shared_table(left.join(done, "id", "left_anti"), "bands")
-    while links is not None and not links.isEmpty():
-        # a hub that no smaller one is like stays
-        stays = links.select("hub").distinct().join(links.select(F.col("id").alias("hub")), "hub", "left_anti")
-        drop = shared_table(links.join(stays, "hub", "left_semi").select("id").distinct(), "gone")
-        gone = gone.unionAll(drop)
-        links = shared_table(links.join(drop, "id", "left_anti").join(drop.select(F.col("id").alias("hub")), "hub", "left_anti"), "links")
+            most = largest
+        nth = F.row_number().over(Window.partitionBy("band").orderBy("id"))
+        hubs = shared_table(left.withColumn("_n", nth).where(F.col("_n") <= most).select("band", F.col("id").alias("hub")), "hubs")
+        met = left.hint("merge").join(hubs, "band").where("hub < id").select("id", "hub").distinct()
+        links = shared_table(compared(shared_table(met, "met")), "links")
+        # those that have met all smaller ones with their keys, and that all larger ones have met
+        full = left.groupBy("id").count().join(hubs.groupBy(F.col("hub").alias("id")).agg(F.count("*").alias("as_hub")), "id").where("count = as_hub").select("id")
+        full = shared_table(full, "full")
+        while True:
+            stays = full.join(links.select("id").distinct(), "id", "left_anti")
+            drop = shared_table(links.join(stays.select(F.col("id").alias("hub")), "hub", "left_semi").select("id").distinct(), "gone")
+            if drop.isEmpty():
+                break
+            gone = gone.unionAll(drop)
+            links = shared_table(links.join(drop, "id", "left_anti").join(drop.select(F.col("id").alias("hub")), "hub", "left_anti"), "links")
+            full, left = full.join(drop, "id", "left_anti"), left.join(drop, "id", "left_anti")
+        left, most = shared_table(left.join(stays, "id", "left_anti"), "bands"), 2 * most
 
     kept = firsts.select("id", F.col("h").alias("_fh"))
     kept = kept.join(gone, "id", "left_anti").withColumnRenamed("id", "_kept")

@@ -25,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_table, shield, table, text_or_empty
+from .common import shared_table, table, text_or_empty
 from .components import connected_components
 
 SHINGLE = 3
@@ -60,17 +60,20 @@ def fingerprint(text: bytes, n: int = SHINGLE, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column(batch.num_columns - 1)
-        made = pa.array([_signed(fingerprint(t.as_py())) for t in texts], pa.int64())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=[*batch.schema.names[:-1], "fp"])
+def _fingerprints(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1)
+            made = pa.array([_signed(fingerprint(t.as_py(), shingle)) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=[*batch.schema.names[:-1], "fp"])
 
+    return run
 
-def with_fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and ``fp`` (long, the fingerprint's 64 bits); null text counts as empty."""
+
+def with_fingerprints(docs: DataFrame, keep: list[str], shingle: int = SHINGLE) -> DataFrame:
+    """The columns ``keep`` and ``fp`` (long, the fingerprint's 64 bits) over shingles of so many words; null text counts as empty."""
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.encode(text_or_empty(), "UTF-8").alias("_text")).mapInArrow(_fingerprints, f"{schema}, fp long")
+    return docs.select(*keep, F.encode(text_or_empty(), "UTF-8").alias("_text")).mapInArrow(_fingerprints(shingle), f"{schema}, fp long")
 
 
 def _masks(*values: int) -> Column:
@@ -115,7 +118,7 @@ def near_links(fps: DataFrame) -> DataFrame:
     return met.where("fp != hub").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= RADIUS).distinct()
 
 
-def near_classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+def near_classes(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """(key, fp, component_id): every row with the smallest key it reaches over near fingerprints.
 
     Null text counts as empty; all empty texts share fingerprint 0 and are linked like any
@@ -123,7 +126,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     groups of copies cost a partial aggregate. Repeated rows each get their row; null keys
     are never the smallest unless alone. Other columns are ignored. No rows give no rows.
     """
-    rows = shared_table(with_fingerprints(docs, [key]), "fingerprints")
+    rows = shared_table(with_fingerprints(docs, [key], shingle), "fingerprints")
     fps = shared_table(rows.groupBy("fp").agg(F.min(key).alias("first"), F.count("*").alias("n")), "distinct")
     labels = connected_components(near_links(fps.select("fp")), "fp", "hub")
     named = labels.join(fps, F.col("node") == F.col("fp"))
@@ -140,20 +143,6 @@ def near_classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return marked.where("_common").select(key, "fp", "component_id").unionByName(others.select(key, "fp", "component_id"))
 
 
-def near_dedup(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``docs`` with one row of each near-duplicate class: the one with the smallest key.
-
-    Rows that repeat the kept key are near-duplicates of it too and are kept once. Rows
-    with a null key have no identity to compare by and stay. Columns stay as they are.
-    """
-    docs, restored = shield(docs, key, "text")
-    classes = near_classes(docs.where(F.col(key).isNotNull()), key).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_kept")).distinct()
-    kept = docs.join(classes, F.col(key) == F.col("_kept"), "left_semi")
-    nth = F.row_number().over(Window.partitionBy(key).orderBy("text"))
-    once = kept.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
-    return once.unionByName(docs.where(F.col(key).isNull())).select(*restored)
-
-
 def op9_ball_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_classes(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

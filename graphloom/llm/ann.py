@@ -256,6 +256,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, tables: int = TAB
         return result.select(*columns)
     everything = hashed.select("vid", "ids", "d", "raw", F.lit(0).cast("long").alias("b"), F.pmod(F.xxhash64("vid"), F.lit(blocks)).cast("int").alias("block"))
     again = hashed.join(short.select(F.col("query").alias("vid")).distinct(), "vid", "left_semi").select("vid", "d", "raw", F.lit(None).cast("array<long>").alias("probed"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    again = again.toDF(*again.columns)  # both sides come from one table
     whole = everything.groupBy("d", "block").cogroup(again.groupBy("d", "block")).applyInPandas(_ranker(dtype, k + 1), pairs)
     return result.join(short, "query_uid", "left_anti").select(*columns).unionByName(_ranked(whole, short, k).select(*columns))
 

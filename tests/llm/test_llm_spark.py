@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import random
+import struct
 import sys
 import zlib
 from collections import Counter, defaultdict
@@ -11,6 +12,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from graphloom.llm import ann, chat_format, components, mixing, near_copies, packing, registry, secret_scan, sharding, simhash, syncmers, toxicity, url_filter
@@ -136,21 +138,54 @@ def test_packing(docs, clashing, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_graph_over_many_regions_matches_brute_force(spark):
+    """Over twenty times more documents than a stretch holds, links are those of a comparison of all with all."""
+    rng = random.Random(17)
+    rows = []
+    for i in range(500):
+        base = words(rng, 60).split()
+        rows += [(10 * i + j, " ".join(w if rng.random() < 0.9 else words(rng, 1) for w in base)) for j in range(6)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    made = docs.mapInArrow(packing._tokeniser(None, None, None), "doc_id long, doc_tokens long, raw binary").withColumn("uid", F.monotonically_increasing_id())
+    made = packing.shared_table(made, "made")
+    vectors, mean, shared = packing.content_vectors(made)
+    held = vectors.collect()
+    x = packing.own_part(packing._floats([bytes(r.vec) for r in held]), mean, shared)
+    links = defaultdict(dict)
+    for r in packing.neighbour_links(made, 128)[1].collect():
+        links[r.uid][r.other] = r.likeness
+    uid = [r.uid for r in held]
+    wanted = found = 0
+    for i, u in enumerate(uid):
+        sims = x @ x[i]
+        sims[i] = -2
+        top = [j for j in np.argsort(-sims)[:8] if sims[j] >= packing.LEAST_LIKENESS + 0.1]
+        wanted += len(top)
+        found += sum(uid[j] in links[u] for j in top)
+        assert len(links[u]) <= 8
+    assert wanted > 5000 and found >= 0.9 * wanted
+    # the walk lays a group's documents side by side
+    pieces = packing.pack(docs, region_rows=128).where("start = 0").orderBy("sequence_id", "offset").collect()
+    group = [r.doc_id // 10 for r in pieces]
+    assert sum(a == b for a, b in zip(group, group[1:])) > 0.7 * len(group)
+
+
 def brute_nearest(rows, every, k):
-    v = {i: np.array(x, dtype=np.float64) for i, x in rows}
-    out = {}
-    for q in v:
+    """By query id and row, since a repeated id is several queries: the sorted results."""
+    v = [(i, np.array(x, dtype=np.float64)) for i, x in rows]
+    out = defaultdict(list)
+    for a, (q, own) in enumerate(v):
         if q % every == 0:
-            d = sorted((float(np.sqrt(((v[q] - x) ** 2).sum())), i) for i, x in v.items() if i != q)[:k]
-            out[q] = [(i, pytest.approx(s, rel=1e-12)) for s, i in d]
-    return out
+            d = sorted((float(np.sqrt(((own - x) ** 2).sum())), i) for b, (i, x) in enumerate(v) if a != b)[:k]
+            out[q] += [(n, i, pytest.approx(s, rel=1e-12)) for n, (s, i) in enumerate(d, 1)]
+    return {q: sorted(x, key=lambda y: (y[0], y[1])) for q, x in out.items()}
 
 
 def nearest_of(df, **how):
     got = defaultdict(list)
-    for r in ann.nearest(df, **how).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.vec_id, r.score))
-        assert r.rank == len(got[r.query_id])
+    for r in ann.nearest(df, **how).orderBy("query_id", "rank", "vec_id").collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
     return dict(got)
 
 
@@ -162,10 +197,10 @@ def test_nearest_recall_and_exact_scores(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("raw", F.lit(1))
     got = nearest_of(df, every=50)
     assert got.keys() == want.keys()
-    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    hits = sum(len({i for _, i, _ in got[q]} & {i for _, i, _ in want[q]}) for q in want)
     assert hits >= 0.9 * 10 * len(want)
-    exact = {q: dict((i, s) for i, s in brute_nearest(rows, 50, 899)[q]) for q in got}
-    assert all(exact[q][i] == s for q in got for i, s in got[q])
+    exact = {q: {i: s for _, i, s in x} for q, x in brute_nearest(rows, 50, 899).items()}
+    assert all(exact[q][i] == s for q in got for _, i, s in got[q])
 
 
 def test_nearest_in_clusters_with_smaller_buckets(spark):
@@ -174,15 +209,21 @@ def test_nearest_in_clusters_with_smaller_buckets(spark):
     rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
     want = brute_nearest(rows, 100, 5)
     got = nearest_of(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=5, tables=8, probes=12, axes_per_hash=2)
-    assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.9 * 5 * len(want)
+    assert sum(len({i for _, i, _ in got[q]} & {i for _, i, _ in want[q]}) for q in want) >= 0.9 * 5 * len(want)
+    # hot buckets are split and found whole
+    assert nearest_of(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=5, tables=8, probes=12, axes_per_hash=2, block_rows=20) == got
+    assert ann.plan_probes(10**9, 64)[0] == 3 and ann.plan_probes(50_000, 64)[1] < ann.plan_probes(10_000, 64)[1] < ann.plan_probes(2000, 64)[1]
 
 
 def test_nearest_copies_ties_and_unsound_vectors(spark):
     inf, nan = math.inf, math.nan
-    rows = [(i, [1.0, 2.0, 0.5]) for i in range(0, 300, 5)] + [(1000, [0.0, 1.0, 0.0]), (1001, [5.0, 5.0, 5.0])]
+    rows = [(i, [1.0, 2.0, 0.5]) for i in range(0, 300, 5)] + [(1000, [0.0, 1.0, 0.0]), (1001, [5.0, 5.0, 5.0]), (1001, [5.0, 5.0, 6.0]), (50, [7.0, 7.0, 7.0])]
+    rows += rows[:3]
     bad = [(2000, None), (2050, [0.0, 0.0, 0.0]), (2100, [1.0, None, 0.0]), (2150, [nan, 0.0, 1.0]), (2200, [inf, 0.0, 1.0]), (2250, []), (2300, [1.0, 2.0]), (None, [1.0, 1.0, 1.0])]
-    df = spark.createDataFrame(rows + bad + rows[:3], "vec_id long, embedding array<double>")
+    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>")
     assert nearest_of(df, every=50) == brute_nearest(rows, 50, 10)
+    huge = spark.createDataFrame([(0, [1e200, 0.0]), (1, [-1e200, 0.0]), (2, [1e200, 3e-170]), (3, [1e-200, 0.0])], "vec_id long, embedding array<double>")
+    assert [(i, s) for _, i, s in nearest_of(huge)[0]] == [(2, pytest.approx(3e-170, rel=1e-9)), (3, 1e200), (1, 2e200)]
     few = spark.createDataFrame([(0, [1.0, 0.0]), (50, [-1.0, 0.0]), (3, [0.0, 2.0])], "vec_id long, embedding array<double>")
     assert nearest_of(few, every=50) == brute_nearest([(0, [1.0, 0.0]), (50, [-1.0, 0.0]), (3, [0.0, 2.0])], 50, 10)
     assert ann.nearest(df.limit(0)).count() == 0 and ann.nearest(df.where("vec_id = 2000")).count() == 0
@@ -200,6 +241,28 @@ def test_sharding(docs, clashing, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
+def test_every_key_goes_to_its_place_on_the_ring(spark):
+    """With room for all, a key's shard is the owner of the first virtual node at or after its hash; without, a walk row by row fills alike."""
+    df = spark.range(5000).withColumnRenamed("id", "k").withColumn("at", F.pmod(F.xxhash64("k"), F.lit(2**32)))
+    nodes = sharding.ring(7)
+    owner = lambda at: next((s for p, s in nodes if p >= at), nodes[0][1])
+    got = sharding.assign_shards(df, ["k"], 7, slack=3.0).collect()
+    assert all(r.shard == owner(r.at) for r in got) and len({r.shard for r in got}) == 7
+    tight = sharding.assign_shards(df, ["k"], 7).collect()
+    assert sorted(Counter(r.shard for r in tight).values()) == [714, 714, 714, 714, 714, 715, 715]
+    # no one leaves a shard that still has room: whoever isn't with the owner found it full
+    assert sum(r.shard == owner(r.at) for r in tight) == sum(min(n, 5000 // 7 + (s < 5000 % 7)) for s, n in Counter(owner(r.at) for r in tight).items())
+
+
+def test_very_many_equal_rows_are_ranked_in_parts(spark):
+    df = spark.createDataFrame([(7, 1)] * 20000 + [(i, 0) for i in range(3000)], "k long, x long")
+    got = sharding.assign_shards(df, ["k"], tie=["x"]).collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert len(slots) == 40 and all(sorted(x) == list(range(len(x))) for x in slots.values()) and {len(x) for x in slots.values()} == {575}
+
+
 def test_bounded_loads_with_a_hot_key_move_little(spark):
     df = spark.range(6000).selectExpr("id", "case when id % 3 = 0 then 'hot' else cast(id as string) end as k")
     at = {n: {r.id: r.shard for r in sharding.assign_shards(df, ["k"], n, slack=0.25, tie=["id"]).collect()} for n in (20, 21)}
@@ -246,17 +309,42 @@ def test_toxicity(spark, docs, clashing, empty):
     assert toxicity.score_toxicity(empty, model, ["doc_id"]).count() == 0
 
 
-def brute_syncmers(text, k=syncmers.K, s=syncmers.S):
-    """The windows that are anchors by definition, with a hash order given by the caller."""
+def signed_hash(text):
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (h >> 63 << 64)
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [(2**63 - 1, "a"), (-(2**63), "b"), (None, "c")],
+        [(6 * 10**18, "a"), (-6 * 10**18, "b"), *((i, f"t{i}") for i in range(400))],
+        [(2**62, "far"), *((i, f"t{i}") for i in range(900))],
+        [(5, "only")],
+        [*((i, f"t{i}") for i in range(100)), *[(None, "same")] * 400, *[(7, "hot")] * 300, *((8, f"u{i}") for i in range(60))],
+        [(None, f"z{i % 7}") for i in range(300)],
+    ],
+)
+def test_next_row_whatever_the_ids(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = syncmers.with_next(df, run_rows=16).collect()
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), signed_hash(r[1])))
+    assert Counter((r.doc_id, r.text, r.next_text) for r in got) == Counter((i, t, n) for (i, t), (_, n) in zip(order, order[1:] + order[:1]))
+
+
+def brute_anchors(text):
+    """The windows of three words whose least word hash is the first or the last."""
     w = text.split()
-    return [tuple(w[i : i + k]) for i in range(len(w) - k + 1)] if len(w) >= k else [tuple(w)] if w else []
+    h = [xxhash.xxh64_intdigest(struct.pack("<q", signed_hash(x)), 42) for x in w]
+    h = [x - (x >> 63 << 64) for x in h]
+    return {tuple(w[i : i + 3]) for i in range(len(w) - 2) if min(h[i : i + 3]) in (h[i], h[i + 2])} if len(w) >= 3 else {tuple(w)} if w else set()
 
 
 def test_syncmers(spark, docs, clashing, empty):
     rows = [r for r in corpus()]
     got = syncmers.fingerprint_documents(clashing).collect()
     assert len(got) == len(rows)
-    order = sorted(((r[0] if r[0] is not None else -(2**63), r[1] or "") for r in rows), key=lambda x: (-x[0], x[1]))
+    order = sorted(((r[0] if r[0] is not None else -(2**63), r[1] or "") for r in rows), key=lambda x: (-x[0], signed_hash(x[1])))
     want = Counter()
     for (i, t), (_, n) in zip(order, order[1:] + order[:1]):
         half = len(t) // 2
@@ -268,6 +356,16 @@ def test_syncmers(spark, docs, clashing, empty):
         if r.doc_id is not None:
             by_text[text[r.doc_id]].add(r.fingerprint)
     assert all(len(x) == 1 for x in by_text.values()) and by_text[""] == {""}
+    # likeness by sets of windows, hashed one by one
+    unique = {r[0]: r[1] or "" for r in rows if r[0] is not None and r[0] < 60}
+    ids = sorted(unique, reverse=True)
+    wanted = {i: brute_anchors(unique[i]) for i in ids}
+    for r in got:
+        if r.doc_id in unique and r.doc_id not in (0, 7):  # 7 is repeated and follows itself once
+            near, far = wanted[r.doc_id], wanted[r.doc_id - 1]
+            text, follows = unique[r.doc_id], unique[r.doc_id - 1]
+            edited = brute_anchors(text[: len(text) - len(text) // 2] + follows[: len(text) // 2])
+            assert r.near_next == pytest.approx(len(near & far) / len(near | far)) and r.near_edited == pytest.approx(len(near & edited) / len(near | edited))
     long = [r for r in got if r.doc_id is not None and r.doc_id < 60]
     assert np.mean([r.near_edited for r in long]) > 0.25 and np.mean([r.near_next for r in long]) < 0.05
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
@@ -351,6 +449,17 @@ def test_mixing(spark, docs, clashing, empty):
         assert r.taken <= 2 * r.size and r.taken == r.copies * r.size
     assert target == {s: pytest.approx(t) for s, t in brute_targets(dict(totals)).items()}
     assert all(abs(taken[s] - target[s]) <= 80 for s in totals)
+    # a third of the rows without an id, many of them equal: each has its own coin, and no chunk is much larger than the others
+    hot = spark.createDataFrame([(None, "w " * (i % 40), "s") for i in range(20000)] + [(1, "a b c", None)] * 20000, "doc_id long, text string, source string")
+    made = mixing.mix(hot)
+    assert made.count() == 40000
+    groups = hot.select("doc_id", "source", mixing.words_in(F.col("text")).alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
+    keys = mixing._wanted(groups, (5, 2, 1), 1.5, 2.0).select("source", "_key", F.pmod(F.xxhash64("_key", F.lit(0)), F.lit(5)).alias("c"))
+    assert keys.select("_key").distinct().count() == 40000 and keys.groupBy("source", "c").count().agg(F.max("count")).head()[0] < 4400
+    for r in made.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
+        assert abs(r.taken - r.target) <= 40
+    rows_of = {r.source: r.n for r in mixing.mix_rows(hot).groupBy("source").agg(F.sum(mixing.words_in(F.col("text"))).alias("n")).collect()}
+    assert rows_of == {r.source: r.n for r in made.groupBy("source").agg(F.sum("taken").alias("n")).collect()} or all(abs(rows_of[r.source] - r.t) <= 40 for r in made.groupBy("source").agg(F.first("target").alias("t")).collect())
     odd = mixing.mix_rows(clashing)
     assert odd.columns == clashing.columns and odd.count() > 0
     assert mixing.mix(docs).count() == len(corpus()) and mixing.mix(empty).count() == 0 and mixing.mix_rows(empty).count() == 0
@@ -373,14 +482,23 @@ def spans_of(rows):
 def test_secrets(spark, docs, clashing, empty):
     rng = random.Random(3)
     hexes = lambda abc, n: "".join(rng.choices(abc, k=n))
-    rows = [(i, f'{words(rng, 30)} token = "{hexes("0123456789abcdef", 40)}" é {words(rng, 5)}', "en", "s", 0) for i in range(120)]
-    rows += [(200 + i, f"{words(rng, 20)} AKIA{hexes('ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 16)} {words(rng, 4)}", "en", "s", 0) for i in range(60)]
-    rows += [(400, f"bare {hexes('0123456789abcdef', 20)}z", "en", "s", 0), (401, "see http://www.example.com/section-12/page_3 or mail me42", "en", "s", 0)]
-    rows += [(500 + i, words(rng, 300), "en", "s", 0) for i in range(60)]
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 11))) for _ in range(n))
+    rows = [(i, f'{prose(30)} token = "{hexes("0123456789abcdef", 40)}" é {words(rng, 5)}', "en", "s", 0) for i in range(120)]
+    rows += [(200 + i, f"{prose(20)} AKIA{hexes('ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 16)} {words(rng, 4)}", "en", "s", 0) for i in range(60)]
+    rows += [(401, "see http://www.example.com/section-12/page_3 or mail me42 on 555-1234", "en", "s", 0)]
+    rows += [(500 + i, f"{prose(300)} call 555-{rng.randint(1000, 9999)}", "en", "s", 0) for i in range(60)]
+    # the formats, but too short for the base patterns
+    bare = {600 + i: hexes("0123456789abcdef", rng.randint(16, 23)) if i % 2 else "AKIA" + hexes("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", rng.randint(11, 15)) for i in range(40)}
+    rows += [(i, f"{prose(20)} key {v}. {words(rng, 5)}", "en", "s", 0) for i, v in bare.items()]
     got = spans_of(secret_scan.find_secrets(spark.createDataFrame(rows, DOCS), ["doc_id"]).collect())
     for i, text, *_ in rows:
         assert [x for x in got[i] if x[2] != "format"] == brute_base(text)
-    assert not [i for i in got for x in got[i] if x[2] == "format" and i != 400] and got[401] == []
+    added = {(i, a, b) for i, spans in got.items() for a, b, kind in spans if kind == "format"}
+    text_of = {i: t for i, t, *_ in rows}
+    planted = {(i, text_of[i].index(v), text_of[i].index(v) + len(v)) for i, v in bare.items()}
+    assert len(added & planted) >= 0.9 * len(planted) and len(added & planted) >= 0.95 * len(added) and got[401] == []
+    scores = [s.score for r in secret_scan.find_secrets(spark.createDataFrame(rows, DOCS), ["doc_id"]).collect() for s in r.secrets if s.kind != "format"]
+    assert min(scores) > 10
     odd = spans_of(secret_scan.find_secrets(docs, ["doc_id"]).collect())
     assert [x[2] for x in odd[303]] == ["assign", "hex"] and all(not v for k, v in odd.items() if k != 303)
     masked = secret_scan.redact(clashing)
@@ -417,10 +535,6 @@ def test_near_classes(docs, clashing, empty):
     got = simhash.near_classes(clashing).collect()
     assert Counter((r.doc_id, r.fp % 2**64, r.component_id) for r in got) == brute_classes(rows)
     assert simhash.near_classes(empty).count() == 0
-    kept = simhash.near_dedup(clashing)
-    assert kept.columns == clashing.columns
-    want = {c for _, _, c in brute_classes([r for r in rows if r[0] is not None])}
-    assert Counter(r.doc_id for r in kept.collect()) == Counter(want) + Counter({None: 2})
 
 
 def test_near_copies_match_brute_force(spark, clashing, empty):
@@ -516,6 +630,48 @@ def test_decisions_spread_over_links(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.verdict for r in url_filter.judge_urls(df, edges=url_filter.link_edges(df)).collect()}
     assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "allow", 8: "block", 9: "block"}
+    assert {tuple(r) for r in verdicts_by_sql(df)} == {(r.page_id, r.rule, r.verdict) for r in url_filter.judge_urls(df, edges=url_filter.link_edges(df)).collect()}
+
+
+def verdicts_by_sql(pages):
+    import duckdb
+
+    db = duckdb.connect()
+    db.register("pages", pages.toPandas())
+    return [(int(i), rule, verdict) for i, rule, verdict in db.execute(f"SELECT page_id, rule, verdict FROM ({url_filter._SQL})").fetchall()]
+
+
+LINKS = [
+    ('<link href="//b.org/y" rel="canonical">', "b.org/y"),
+    ("<link rel=canonical href=http://c.org/1>", "c.org/1"),
+    ("<LINK rel='alternate canonical' title='x' href='p2.html'>", "a.net/d/e/p2.html"),
+    ('<link rel="canonical" href="?q=1">', "a.net/d/e/f?q=1"),
+    (f'<link data-x="{"y" * 900}" rel="canonical" href="../up/./z">', "a.net/d/up/z"),
+    ("""<meta content="0; url='http://d.org/q?a=1&amp;b=2#f'" http-equiv="Refresh">""", "d.org/q?a=1&b=2"),
+    ("<meta http-equiv=refresh content='5;URL=/r'>", "a.net/r"),
+    ("<meta http-equiv='refresh' content='5; url=\"../../../r/\"'>", "a.net/r/"),
+    ('<link rel="canonical" href="http&#58;&#x2F;/E.org/a/..">', "e.org/"),
+    ("<!-- <link rel=canonical href=http://no.org> -->", None),
+    ("<!-- open <link rel=canonical href=http://no.org>", None),
+    ("<link rel=nocanonical href=/no>", None),
+    ('<link rel="canonical" href="mailto:a@b">', None),
+    ('<link rel="canonical" href="#top">', None),
+    ('<link rel="canonical" href="">', None),
+    ("<meta http-equiv=refresh content=30>", None),
+    ("<linked rel=canonical href=/x>", None),
+]
+
+
+def test_links_in_every_form(spark):
+    pages = [(i, "http://a.net/d/e/f?x#y", html) for i, (html, _) in enumerate(LINKS)] + [(100, "http://a.net/d/e/f?x#y", "".join(h for h, _ in LINKS[:9])), (101, None, LINKS[1][0]), (102, "no host", LINKS[1][0])]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for i, (_, want) in enumerate(LINKS):
+        assert [r.dst for r in url_filter.link_edges(df.where(F.col("page_id") == i)).collect()] == ([want] if want else [])
+    assert {r.dst for r in url_filter.link_edges(df.where("page_id = 100")).collect()} == {w for _, w in LINKS[:9]} and url_filter.link_edges(df.where("page_id > 100")).count() == 0
+    # the SQL reads the same links: every target is blocked through the page, which a rule blocks
+    aliases = df.unionByName(spark.createDataFrame([(200 + i, f"http://{w}", "") for i, (_, w) in enumerate(LINKS) if w], "page_id long, url string, html string"))
+    got = {(r.page_id, r.rule, r.verdict) for r in url_filter.judge_urls(aliases, edges=url_filter.link_edges(aliases)).collect()}
+    assert got == set(verdicts_by_sql(aliases)) and all(v == "block" for i, _, v in got if i >= 200)
 
 
 def test_pipeline(spark, docs, clashing, empty, tmp_path):

@@ -19,3 +19,7 @@ class TemplateError(PlanError):
 
 class SourceError(MappingError):
     """A source can't be found or read."""
+
+
+class SinkError(MappingError):
+    """A target can't be written."""

@@ -13,8 +13,9 @@ class Options:
     deduplicate with dedup_scope ``statement`` drops repeated statements; ``record`` drops
     repeated blocks of statements of one row. on_invalid_iri: keep (as INVALID), drop (the
     statement) or fail. typed_literals writes datatypes and language tags of literals.
-    multiline: whether quoted CSV fields may hold line feeds; False lets large files be
-    split. message_buffer_capacity is accepted and means nothing here.
+    multiline: whether quoted CSV fields hold line feeds; False lets large files be split.
+    None looks for a line with an odd number of quotes first, and splits where there is none.
+    message_buffer_capacity is accepted and means nothing here.
     """
 
     force_to_std_out: bool = False
@@ -26,7 +27,7 @@ class Options:
     escape_literals: bool = True
     on_invalid_iri: str = "keep"
     typed_literals: bool = False
-    multiline: bool = True
+    multiline: bool | None = None
     fuse_siblings: bool = True
 
     def __post_init__(self) -> None:

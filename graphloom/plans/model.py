@@ -15,6 +15,7 @@ class Source:
     source_type: str = "File"
     formulation: str = "CSVRows"
     options: tuple[tuple[str, str], ...] = ()
+    iterator: str = ""
 
 
 @dataclass(frozen=True)
@@ -65,7 +66,7 @@ _FORMATS = ("NQuads", "NTriples")
 def _source(c: Mapping) -> Source:
     iterator = c.get("root_iterator") or {}
     options = c.get("options") or {}
-    return Source(c["path"], c.get("source_type", "File"), iterator.get("reference_formulation", "CSVRows"), tuple(sorted((k, str(v)) for k, v in options.items())))
+    return Source(c["path"], c.get("source_type", "File"), iterator.get("reference_formulation", "CSVRows"), tuple(sorted((k, str(v)) for k, v in options.items())), iterator.get("reference") or "")
 
 
 def _target(c: Mapping) -> Target:

@@ -5,16 +5,23 @@ Every query is a plan over the driver's tables. Numbers enter as their canonical
 
 from __future__ import annotations
 
+import contextlib
+import io
+import json
 import tempfile
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .api import quads, relation, statements, translate
+from .api import quads, relation, run, statements, translate
+from .errors import MappingError
 from .functions.iri import ABSOLUTE, REFERENCE
 from .options import Options
+from .sources.paths import scratch
 from .plans.model import Extend, Fragment, Join, Plan, Project, Rename, Serialize, Source, Target
 
 EX = "http://ex.org/"
@@ -82,8 +89,7 @@ def _extended(spark: SparkSession, sf_dir: str, table: str, functions: dict[str,
 @_query("source_csv_roundtrip", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation")
 def source_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """nation as CSV and back. The file lies in the folder that executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    path = f"{shared}/csv-{uuid.uuid4().hex}"
+    path = scratch(spark)
     spark.read.parquet(f"{sf_dir}/nation.parquet").write.option("header", True).csv(path)
     plan = Plan()
     return relation(plan, plan.add(Source(path)), spark=spark)
@@ -424,3 +430,215 @@ def order_graph_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("flagship_order_graph", f"SELECT DISTINCT line FROM ({_GRAPH_SQL})")
 def flagship_order_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statements(order_graph(sf_dir), Options(deduplicate=True), spark)
+
+
+# --- dialect, paths and nested sources ---------------------------------------------
+
+
+@_query("source_csv_dialect", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, replace(coalesce(text, ''), chr(13), '') AS text FROM documents")
+def source_csv_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes, commas, blanks, backslashes and line feeds within fields come back as they were."""
+    path, plan = scratch(spark), Plan()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs.select("doc_id", F.replace(F.coalesce("text", F.lit("")), F.lit("\r"), F.lit("")).alias("text")).write.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return relation(plan, plan.add(Source(path)), spark=spark)
+
+
+def _text_file(spark: SparkSession, *lines: str) -> str:
+    """A file of these lines, in a new folder of its own."""
+    path = scratch(spark)
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+    return path
+
+
+@_query("source_csv_header_only", "SELECT 0 AS rows_read, 'a,b' AS names")
+def source_csv_header_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = Plan()
+    got = relation(plan, plan.add(Source(_text_file(spark, "a,b"))), spark=spark)
+    return got.agg(F.count("*").cast("int").alias("rows_read"), F.lit(",".join(got.columns)).alias("names"))
+
+
+@_query("source_path_below_working_dir", "SELECT r_name FROM region")
+def source_path_below_working_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = Plan()
+    at = plan.add(Project(("r_name",)), plan.add(Source("region.parquet", "File", "Parquet")))
+    return relation(plan, at, Options(working_dir_hint=sf_dir), spark)
+
+
+@_query("source_json_iterator", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM nation")
+def source_json_iterator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations nested in regions, in one document."""
+    path, plan = scratch(spark), Plan()
+    nested = spark.read.parquet(f"{sf_dir}/nation.parquet").groupBy("n_regionkey").agg(F.collect_list(F.struct("n_nationkey", "n_name")).alias("nations"))
+    nested.agg(F.struct(F.collect_list(F.struct("nations")).alias("regions")).alias("world")).write.json(path)
+    at = plan.add(Source(path, "File", "JSONPath", iterator="$.world.regions[*].nations[*]"))
+    return relation(plan, plan.add(Project(("n_nationkey", "n_name")), at), spark=spark)
+
+
+@_query("source_xml_iterator", "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name FROM supplier")
+def source_xml_iterator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, plan = scratch(spark), Plan()
+    spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name").write.format("xml").options(rootTag="suppliers", rowTag="supplier").save(path)
+    at = plan.add(Source(path, "File", "XMLPath", iterator="/suppliers/supplier"))
+    return relation(plan, plan.add(Project(("s_suppkey", "s_name")), at), spark=spark)
+
+
+# --- targets, options and the command line -------------------------------------------
+
+
+def _region_names(sf_dir: str, target: Target | None = None) -> Plan:
+    plan = Plan()
+    made = plan.add(Extend({"s": iri(tpl(EX + "{r_regionkey}", "r_regionkey")), "o": lit(ref("r_name"))}), scan(plan, sf_dir, "region"))
+    plan.add(target or Target(), plan.add(Serialize(f"?s <{LABEL}> ?o ."), made))
+    return plan
+
+
+_REGION_LINES = f"SELECT '<{EX}' || r_regionkey || '> <{LABEL}> \"' || r_name || '\" .' AS line FROM region"
+
+
+def _lines(spark: SparkSession, lines: list[str]) -> DataFrame:
+    return spark.createDataFrame([(x,) for x in lines], "line string")
+
+
+@_query("target_stdout", _REGION_LINES)
+def target_stdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with contextlib.redirect_stdout(io.StringIO()) as said:
+        run(_region_names(sf_dir), spark=spark)
+    return _lines(spark, said.getvalue().splitlines())
+
+
+@_query("target_file", _REGION_LINES)
+def target_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan's own file target, by a URI."""
+    path = f"{scratch(spark)}/out.nt"
+    run(_region_names(sf_dir, Target("File", path)), spark=spark)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+@_query("target_forced_file", _REGION_LINES)
+def target_forced_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch(spark)}/forced.nt"
+    run(_region_names(sf_dir), Options(force_to_file=path), spark)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+@_query("target_parts", _REGION_LINES)
+def target_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch(spark)}/"
+    run(_region_names(sf_dir), Options(force_to_file=path), spark)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+@_query("target_precedence", "SELECT 'forced stdout, forced file, plan' AS asked, 'stdout' AS wrote UNION ALL SELECT 'forced file, plan', 'forced' UNION ALL SELECT 'plan', 'plan'")
+def target_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = []
+    for asked in ("forced stdout, forced file, plan", "forced file, plan", "plan"):
+        base = scratch(spark)
+        options = Options(force_to_std_out="stdout" in asked, force_to_file=f"{base}/forced.nt" if "forced file" in asked else None)
+        with contextlib.redirect_stdout(io.StringIO()) as said:
+            run(_region_names(sf_dir, Target("File", f"{base}/plan.nt")), options, spark)
+        found = ["stdout"] * bool(said.getvalue())
+        for name in ("forced", "plan"):
+            with contextlib.suppress(Exception):
+                found += [name] * bool(spark.read.text(f"{base}/{name}.nt").count())
+        rows.append((asked, ",".join(found)))
+    return spark.createDataFrame(rows, "asked string, wrote string")
+
+
+@_query("run_json_plan", _REGION_LINES)
+def run_json_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan document as text, run as a whole; the message buffer's capacity changes nothing."""
+    operator = lambda kind, **config: {"id": kind, "operator": {"type": kind, "config": config}}
+    source = operator("SourceOp", path="region.parquet", source_type="File", root_iterator={"reference": "", "reference_formulation": "Parquet"})
+    extend = operator("ExtendOp", **{"?s": iri(tpl(EX + "{r_regionkey}", "r_regionkey")), "?o": lit(ref("r_name"))})
+    nodes = [source, extend, operator("SerializerOp", template=f"?s <{LABEL}> ?o .", format="NTriples"), operator("TargetOp", target_type="StdOut")]
+    document = json.dumps({"nodes": nodes, "edges": [[0, 1], [1, 2], [2, 3]]})
+    with contextlib.redirect_stdout(io.StringIO()) as said:
+        run(document, Options(working_dir_hint=sf_dir, message_buffer_capacity=1), spark)
+    return _lines(spark, said.getvalue().splitlines())
+
+
+@_query("cli_exit_codes", "SELECT * FROM (VALUES ('quiet', 0, 5), ('deduplicated', 0, 5), ('no mapping', 1, 0), ('bad plan', 1, 0)) t(call, code, lines)")
+def cli_exit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cli import main
+
+    operator = lambda kind, **config: {"operator": {"type": kind, "config": config}}
+    source = operator("SourceOp", path=f"{sf_dir}/region.parquet", root_iterator={"reference_formulation": "Parquet"})
+    good = {"nodes": [source, operator("ExtendOp", **{"?s": iri(const(EX + "all")), "?o": lit(ref("r_name"))}), operator("SerializerOp", template=f"?s <{LABEL}> ?o ."), operator("TargetOp")], "edges": [[0, 1], [1, 2], [2, 3]]}
+    rows = []
+    with tempfile.TemporaryDirectory() as folder:  # the mapping is a local file of the caller
+        for name, document in (("good", good), ("bad", {"nodes": [operator("NoSuchOp")]})):
+            with open(f"{folder}/{name}.json", "w", encoding="utf-8") as f:
+                json.dump(document, f)
+        calls = {"quiet": ["-m", f"{folder}/good.json", "-q"], "deduplicated": ["-m", f"{folder}/good.json", "-d", "--force-std-out"], "no mapping": ["-m", f"{folder}/none.json"], "bad plan": ["-m", f"{folder}/bad.json"]}
+        for call, args in calls.items():
+            with contextlib.redirect_stdout(io.StringIO()) as said, contextlib.redirect_stderr(io.StringIO()):
+                code = main(args)
+            rows.append((call, code, len(said.getvalue().splitlines())))
+    return spark.createDataFrame(rows, "call string, code int, lines int")
+
+
+# --- what is refused ------------------------------------------------------------------
+
+
+def _join_plan(sf_dir: str, other: str, join: Join) -> tuple[Plan, int]:
+    plan = Plan()
+    return plan, plan.add(join, scan(plan, sf_dir, "nation"), scan(plan, sf_dir, other))
+
+
+def _relation_of(made: tuple[Plan, int], spark: SparkSession) -> DataFrame:
+    return relation(made[0], made[1], spark=spark)
+
+
+def _fan_in(sf_dir: str) -> Plan:
+    plan = Plan()
+    both = [plan.add(Extend({"o": lit(ref(n))}), scan(plan, sf_dir, t)) for t, n in (("region", "r_name"), ("nation", "n_name"))]
+    plan.add(Target(), plan.add(Serialize(f"?o <{LABEL}> ?o ."), *both))
+    return plan
+
+
+def _in_turtle(sf_dir: str) -> Plan:
+    plan = _region_names(sf_dir)
+    plan.nodes = [Serialize(n.template, "Turtle") if isinstance(n, Serialize) else n for n in plan.nodes]
+    return plan
+
+
+def _read_ragged(spark: SparkSession) -> None:
+    plan = Plan()
+    relation(plan, plan.add(Source(_text_file(spark, "a,b", "1,2", "3"))), spark=spark).collect()
+
+
+_PAIR = (("n_regionkey", "r_regionkey"),)
+_REFUSED: dict[str, tuple[str, Callable[[SparkSession, str], object]]] = {
+    "unknown_attribute": ("error", lambda spark, d: _relation_of((p := Plan(), scan(p, d, "region", "nope")), spark)),
+    "unknown_reference": ("error", lambda spark, d: _extended(spark, d, "region", {"v": ref("nope")})),
+    "ragged_record": ("failure", lambda spark, d: _read_ragged(spark)),
+    "missing_file": ("error", lambda spark, d: _relation_of((p := Plan(), p.add(Source(f"{d}/none.csv"))), spark)),
+    "join_predicate": ("error", lambda spark, d: _relation_of(_join_plan(d, "region", Join(_PAIR, "x", "InnerJoin", "GreaterThan")), spark)),
+    "join_type": ("error", lambda spark, d: _relation_of(_join_plan(d, "region", Join(_PAIR, "x", "LeftJoin")), spark)),
+    "join_without_pairs": ("error", lambda spark, d: _relation_of(_join_plan(d, "region", Join((), "x")), spark)),
+    "natural_join_of_two_sources": ("error", lambda spark, d: _relation_of(_join_plan(d, "region", Join((), "x", "NaturalJoin")), spark)),
+    "output_format": ("error", lambda spark, d: statements(_in_turtle(d), spark=spark)),
+    "serializer_fan_in": ("error", lambda spark, d: statements(_fan_in(d), spark=spark)),
+    "target_without_path": ("error", lambda spark, d: run(_region_names(d, Target("File")), spark=spark)),
+    "target_kind": ("error", lambda spark, d: run(_region_names(d, Target("Kafka")), spark=spark)),
+    "json_iterator": ("error", lambda spark, d: _relation_of((p := Plan(), p.add(Source(f"{d}/region.parquet", "File", "JSONPath", iterator="$..x[?(@.y)]"))), spark)),
+}
+
+
+def _refusal(attempt: Callable[[SparkSession, str], object]) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        try:
+            attempt(spark, sf_dir)
+            outcome = "accepted"
+        except MappingError:
+            outcome = "error"
+        except (PySparkException, Py4JJavaError):  # found while rows are read
+            outcome = "failure"
+        return spark.createDataFrame([(outcome,)], "outcome string")
+
+    return query
+
+
+for _name, (_outcome, _attempt) in _REFUSED.items():
+    _query(f"refuse_{_name}", f"SELECT '{_outcome}' AS outcome")(_refusal(_attempt))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -28,3 +30,13 @@ def find(spark: SparkSession, path: str, working_dir: str | None) -> str:
         if exists(spark, t if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", t) else f"file://{t}"):
             return t
     raise SourceError(f"File not found: {path}")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that executors share; in local mode without one, a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise SourceError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = f"file://{tempfile.mkdtemp()}"
+    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"

@@ -346,3 +346,30 @@ def test_streaming(spark, tmp_path):
 def test_unused_helpers_compile(spark):
     assert enc("a")["inner_function"] == ref("a")
     assert isinstance(Extend({}), Extend) and isinstance(Serialize(""), Serialize) and isinstance(Target(), Target)
+
+
+def test_headers_of_all_files_are_held_against_each_other(spark, tmp_path):
+    for name, text in (("a", "id,name\n1,ann\n"), ("b", "name,id\nbob,2\n")):
+        (tmp_path / f"{name}.csv").write_text(text)
+    plan = Plan()
+    with pytest.raises(Exception, match="header"):
+        relation(plan, plan.add(Source(str(tmp_path))), spark=spark).collect()
+
+
+def test_lines_are_split_only_where_no_field_spans_them(spark, tmp_path):
+    from graphloom.sources.readers import _spans_lines
+
+    (tmp_path / "a.csv").write_text('id,t\n1,"a ""b"", c"\n')
+    (tmp_path / "b.csv").write_text('id,t\n1,"a\nb"\n')
+    assert not _spans_lines(spark, str(tmp_path / "a.csv")) and _spans_lines(spark, str(tmp_path / "b.csv"))
+    for name, want in (("a", 'a "b", c'), ("b", "a\nb")):
+        plan = Plan()
+        assert relation(plan, plan.add(Source(str(tmp_path / f"{name}.csv"))), spark=spark).head().t == want
+
+
+def test_rml_iterator_reaches_the_source():
+    mapping = """@prefix rr: <http://www.w3.org/ns/r2rml#> . @prefix rml: <http://semweb.mmlab.be/ns/rml#> . @prefix ql: <http://semweb.mmlab.be/ns/ql#> .
+    <#m> rml:logicalSource [ rml:source "x.json" ; rml:referenceFormulation ql:JSONPath ; rml:iterator "$.a[*]" ] ; rr:subjectMap [ rr:template "http://e.org/{id}" ] ;
+      rr:predicateObjectMap [ rr:predicate <http://e.org/p> ; rr:objectMap [ rml:reference "id" ] ] ."""
+    plan = translate(mapping, "rml")
+    assert [n.iterator for n in plan.nodes if isinstance(n, Source)] == ["$.a[*]"]

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, shield, table
+from .common import ascii_lower, let, shield, table
 from .components import connected_components
 
 #: (verdict, rule); a rule is a host and a path.
@@ -113,14 +113,20 @@ def without_dots(node: Column) -> Column:
     return F.when(path.rlike(r"/\.\.?(?:/|$)"), F.concat(host, plain, query)).otherwise(node)
 
 
+def _target_node(target: Column, base: Column) -> Column:
+    """Each step's result is named in many places of the next one, so it is evaluated once."""
+    return let(target, lambda t: let(resolved(t, base), lambda u: let(canonical_url(u), without_dots)))
+
+
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(src, dst) of every page whose HTML names canonical URLs or redirect targets, both as URL nodes.
 
     Links to the page itself, and those of pages without a host, make no edge.
     """
-    some = pages.where(F.col(html).rlike(r"(?i)canonical|refresh"))
-    out = some.select(F.col(url).alias("_base"), F.explode(link_targets(F.col(html))).alias("_to"))
-    out = out.select(canonical_url(F.col("_base")).alias("src"), without_dots(canonical_url(resolved(F.col("_to"), F.col("_base")))).alias("dst"))
+    # tags are looked for only where a link can be, also by the filter that Spark derives from the explode
+    some = F.when(F.col(html).rlike(r"(?i)canonical|refresh"), F.col(html))
+    out = pages.select(F.col(url).alias("_base"), F.explode(link_targets(some)).alias("_to"))
+    out = out.select(canonical_url(F.col("_base")).alias("src"), _target_node(F.col("_to"), F.col("_base")).alias("dst"))
     return out.where("src is not null and dst is not null and src != dst").distinct()
 
 

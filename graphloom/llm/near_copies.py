@@ -9,15 +9,19 @@ size and sketch and at last by its whole sets, so that no document goes without
 that is LEAST or more like it.
 
 Documents are settled in order of id, in rounds. All that share a key are compared to the
-smallest ones with that key that are left: to one of them in the first round, two in the next,
-four, and so on. A document that has met all smaller ones stays unless one of them that stays is
-like it. So the rounds grow with the logarithm of the unlike documents that share a key, and
-alike ones, however many, meet few others. As soon as the keys' pairs are PAIRS a row at most,
-all that are left are compared at once.
+smallest ones with that key that are left, its hubs: to one of them in the first round, two in
+the next, four, and so on. A document that has met all smaller ones stays unless one of them that
+stays is like it. So the rounds grow with the logarithm of the unlike documents that share a key,
+and alike ones, however many, meet few others. As soon as the keys' pairs are PAIRS a row at most
+after a round, all that are left are compared at once.
+
+Sketches are compared where the rows of a key lie, so only pairs with like sketches ever are rows;
+a key of more than BLOCK rows is dealt over blocks, and its hubs are sent to each of them.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +43,10 @@ SKETCHED = 60
 _BLOCK = 1 << 12
 #: Once bands have no more than so many pairs a row, all pairs that are left are compared at once.
 PAIRS = 32
+#: Rows of a key that are compared to its hubs in one place, about.
+BLOCK = 1024
+#: Pairs whose sketches are compared at a time; bounds memory.
+_PAIRS_AT_ONCE = 1 << 15
 
 
 def shingle_set(text: bytes, n: int = SHINGLE) -> np.ndarray:
@@ -89,11 +97,45 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), made], names=["id", "shingles"])
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose sketches have SKETCHED minima in common."""
-    for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype="<u2").reshape(len(batch), -1) for i in (2, 3))
-        yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["id", "hub"]).filter(pa.array((a == b).sum(axis=1) >= SKETCHED))
+def _sketched(least: float):
+    """(id, hub) of each row that asks and each hub before it in its place whose sketches have SKETCHED minima in common.
+
+    Rows (band, block, id, hub, asks, size, sketch) are sorted by place and id; a place is a block of a band.
+    """
+
+    def pairs(rows: pa.RecordBatch, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+        hub, asks, size = (rows.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5))
+        sketch = np.frombuffer(b"".join(rows.column(6).to_pylist()), dtype="<u2").reshape(len(rows), -1)
+        hubs, before = np.flatnonzero(hub), np.cumsum(hub) - hub
+        most = np.where(asks, before - before[start], 0)
+        ends = np.cumsum(most)
+        for at in range(0, int(ends[-1]), _PAIRS_AT_ONCE):
+            nth = np.arange(at, min(at + _PAIRS_AT_ONCE, int(ends[-1])))
+            a = np.searchsorted(ends, nth, "right")
+            b = hubs[before[start[a]] + nth - (ends[a] - most[a])]
+            # sets of sizes too unlike can't be alike
+            near = np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b])
+            a, b = a[near], b[near]
+            near = (sketch[a] == sketch[b]).sum(axis=1) >= SKETCHED
+            yield pa.RecordBatch.from_arrays([rows.column(2).take(pa.array(x[near])) for x in (a, b)], names=["id", "hub"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None and len(batch):
+                held.append(batch)
+            # the last place may go on in the next batch
+            if not held or batch is not None and all(held[0].column(i)[0] == held[-1].column(i)[-1] for i in (0, 1)):
+                continue
+            rows = pa.concat_batches(held)
+            place = [rows.column(i).to_numpy() for i in (0, 1)]
+            first = np.r_[True, (place[0][1:] != place[0][:-1]) | (place[1][1:] != place[1][:-1])]
+            start = np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))
+            end = len(rows) if batch is None else int(start[-1])
+            yield from pairs(rows.slice(0, end), start[:end])
+            held = [rows.slice(end)]
+
+    return run
 
 
 def _alike(least: float):
@@ -113,7 +155,7 @@ def _alike(least: float):
     return run
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", least: float = LEAST, most_pairs: int = PAIRS) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", least: float = LEAST, most_pairs: int = PAIRS, block_rows: int = BLOCK) -> DataFrame:
     """``docs`` without the rows that are ``least`` or more like a row with a smaller key that stays.
 
     Of texts with equal shingle sets the smallest key stands for all; null and empty texts
@@ -141,29 +183,34 @@ def dedup(docs: DataFrame, key: str = "doc_id", least: float = LEAST, most_pairs
 
     sketches = firsts.join(waiting, "id", "left_semi").select("id", "size", "sketch")
 
-    def compared(met: DataFrame) -> DataFrame:
-        """Those of the pairs (id, hub) that are alike."""
-        of = lambda table, column, name: table.select(F.col("id").alias(name), F.col(column).alias(f"_{name}"), *([F.col("size").alias(f"_{name}_size")] if column == "sketch" else []))
-        pairs = met.join(of(sketches, "sketch", "id"), "id").hint("merge").join(of(sketches, "sketch", "hub"), "hub")
-        # sets of sizes too unlike can't be alike
-        pairs = pairs.where(F.least("_id_size", "_hub_size") >= F.lit(least) * F.greatest("_id_size", "_hub_size")).select("id", "hub", "_id", "_hub")
-        some = shared_table(pairs.mapInArrow(_sketched, f"id {kind}, hub {kind}"), "sketched")
-        pairs = some.join(of(sets, "shingles", "id"), "id").hint("merge").join(of(sets, "shingles", "hub"), "hub").select("id", "hub", "_id", "_hub")
+    def compared(ranked: DataFrame) -> DataFrame:
+        """(id, hub) of the rows (id, band, hub) and the smaller hubs of their bands that are alike."""
+        blocks = F.ceil(F.count("*") / block_rows).alias("blocks")
+        large = F.broadcast(shared_table(ranked.groupBy("band").agg(blocks).where("blocks > 1"), "large"))
+        # a band that is dealt has its hubs in each block, and besides them the rows that ask
+        dealt = ranked.join(large, "band", "left")
+        own = dealt.select("band", F.coalesce(F.pmod(F.xxhash64("id"), F.col("blocks")), F.lit(0)).alias("block"), "id", (F.col("hub") & F.col("blocks").isNull()).alias("hub"), F.lit(True).alias("asks"))
+        sent = ranked.where("hub").join(large, "band").select("band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "id", F.lit(True).alias("hub"), F.lit(False).alias("asks"))
+        met = own.unionAll(sent).hint("merge").join(sketches, "id").repartition("band", "block").sortWithinPartitions("band", "block", "id", F.desc("asks"))
+        found = met.select("band", "block", "id", "hub", "asks", "size", "sketch").mapInArrow(_sketched(least), f"id {kind}, hub {kind}")
+        some = shared_table(found.distinct(), "sketched")
+        of = lambda name: sets.select(F.col("id").alias(name), F.col("shingles").alias(f"_{name}"))
+        pairs = some.join(of("id"), "id").hint("merge").join(of("hub"), "hub").select("id", "hub", "_id", "_hub")
         return pairs.mapInArrow(_alike(least), f"id {kind}, hub {kind}")
 
     gone, most = rows.select("id").limit(0), 1
     while not left.isEmpty():
         n = F.col("n")
         rows_left, pairs_left, largest = left.groupBy("band").agg(F.count("*").alias("n")).agg(F.sum(n), F.sum(n * (n - 1) / 2), F.max(n)).head()
-        if pairs_left <= most_pairs * rows_left:
+        # the first hubs alone are like most of the copies
+        if most > 1 and pairs_left <= most_pairs * rows_left:
             most = largest
         nth = F.row_number().over(Window.partitionBy("band").orderBy("id"))
-        hubs = shared_table(left.withColumn("_n", nth).where(F.col("_n") <= most).select("band", F.col("id").alias("hub")), "hubs")
-        met = left.hint("merge").join(hubs, "band").where("hub < id").select("id", "hub").distinct()
-        links = shared_table(compared(shared_table(met, "met")), "links")
+        left = shared_table(left.withColumn("_n", nth).select("id", "band", (F.col("_n") <= most).alias("hub")), "ranked")
+        links = shared_table(compared(left), "links")
         # those that have met all smaller ones with their keys, and that all larger ones have met
-        full = left.groupBy("id").count().join(hubs.groupBy(F.col("hub").alias("id")).agg(F.count("*").alias("as_hub")), "id").where("count = as_hub").select("id")
-        full = shared_table(full, "full")
+        full = shared_table(left.groupBy("id").agg(F.bool_and("hub").alias("hub")).where("hub").select("id"), "full")
+        left = left.drop("hub")
         while True:
             stays = full.join(links.select("id").distinct(), "id", "left_anti")
             drop = shared_table(links.join(stays.select(F.col("id").alias("hub")), "hub", "left_semi").select("id").distinct(), "gone")

@@ -566,6 +566,46 @@ def test_near_copies_match_brute_force(spark, clashing, empty):
     assert near_copies.dedup(clashing).columns == clashing.columns and near_copies.dedup(empty).count() == 0
 
 
+def test_unlike_texts_of_one_band_meet_without_a_row_a_pair(spark, monkeypatch):
+    """Of 240 texts that share bands but are unlike, no pair is a row before sketches say so; any cut of bands and batches finds the same."""
+    rng = random.Random(21)
+    common = words(rng, 200).split()
+    rows = []
+    for i in range(240):
+        own = list(common)
+        for at in rng.sample(range(0, 200, 2), 12):
+            own[at] = f"v{i}x{at}"
+        rows.append((i, " ".join(own), "extra"))
+    rows += [(1000 + i, rows[i][1] + " tail", "extra") for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, band string").repartition(3)
+    seen, write = {}, near_copies.shared_table
+
+    def counted(made, label):
+        out = write(made, label)
+        seen[label] = max(seen.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "shared_table", counted)
+    assert sorted(r.doc_id for r in near_copies.dedup(df).collect()) == list(range(240))
+    assert "met" not in seen and seen["sketched"] < 240 * 239 / 4, seen
+    assert sorted(r.doc_id for r in near_copies.dedup(df, most_pairs=0, block_rows=7).collect()) == list(range(240))
+
+
+def test_sketched_pairs_are_those_of_each_place(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(band), int(block), i, bool(rng.random() < 0.4), bool(rng.random() < 0.8)) for i, (band, block) in enumerate(rng.integers(0, [[6, 2]] * 400))]
+    rows = sorted(rows, key=lambda r: (r[0], r[1], r[2]))
+    sketches = {r[2]: rng.integers(0, 2, 100).astype("<u2") * (r[0] % 2) for r in rows}
+    want = {(r[2], h[2]) for r in rows for h in rows if r[:2] == h[:2] and h[2] < r[2] and h[3] and r[4] and (sketches[r[2]] == sketches[h[2]]).sum() >= near_copies.SKETCHED}
+    import pyarrow as pa
+
+    names = ["band", "block", "id", "hub", "asks", "size", "sketch"]
+    whole = pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows]) for i in range(5)), pa.array([10] * 400), pa.array([sketches[r[2]].tobytes() for r in rows])], names=names)
+    for cut in (1, 7, 150, 400):
+        got = [p for b in near_copies._sketched(0.8)(iter([whole.slice(at, cut) for at in range(0, 400, cut)] + [whole.slice(0, 0)])) for p in zip(*(c.to_pylist() for c in b.columns))]
+        assert len(got) == len(set(got)) and set(got) == want and want
+
+
 def test_ball_links_join_exactly_the_near(spark):
     rng = random.Random(6)
     fps = {rng.getrandbits(64) for _ in range(150)} | {0, 2**64 - 1}

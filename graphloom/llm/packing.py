@@ -1,8 +1,9 @@
 """Related-document packing.
 
 Documents are tokenised and given a small content vector: tokens weighed by their rarity
-in the corpus, without the few directions that all documents share. The nearest-neighbour
-graph is built over all documents: in each of several layouts, sorted by the keys of
+in the corpus, without the few directions that all documents share. Of documents with equal
+tokens one stands for all, and the others are laid beside it, so that links always lead to
+different texts. The nearest-neighbour graph is built over all of these: in each of several layouts, sorted by the keys of
 independent rotations, every stretch is compared exactly, and a document's nearest over
 all layouts are its links. Linked documents are then laid side by side and cut into
 regions, in which the graph is walked: each path starts at the unvisited document of
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_table, table, text_or_empty
+from .common import numbered, shared_table, table, text_or_empty
 from .components import connected_components
 
 WINDOW = 1024
@@ -45,12 +46,12 @@ FIT_ROWS, SHARED = 4096, 8
 _STEP = 1 / 254
 
 
-def load_encoder(ranks: str | None = None, pattern: str | None = None, special: dict[str, int] | None = None):
+def load_encoder(ranks: str | None = None, pattern: str | None = None, special: dict[str, int] | None = None, arrays: bool = False):
     """Text to ids of the byte-level BPE whose ranks lie in the file ``ranks``; strings of ``special`` tokens are those tokens.
 
     The default is the 50k vocabulary with its one special token. Ids are those that
     ``tokenizers`` gives for the same vocabulary without adding any; the ranks file is read
-    by a library several times as fast.
+    by a library several times as fast. Ids are a list, or an unsigned 32-bit array (``arrays``).
     """
     import public_tokenizers
     import tiktoken
@@ -59,6 +60,8 @@ def load_encoder(ranks: str | None = None, pattern: str | None = None, special:
     lines = open(ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read().splitlines()
     table = {base64.b64decode(t): int(n) for t, n in (line.split() for line in lines if line)}
     made = tiktoken.Encoding("ranks", pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=special)
+    if arrays:
+        return lambda text: made.encode_to_numpy(text, allowed_special="all" if any(t in text for t in special) else set(), disallowed_special=())
     if not special:
         return made.encode_ordinary
     return lambda text: made.encode(text, allowed_special="all") if any(t in text for t in special) else made.encode_ordinary(text)
@@ -66,14 +69,17 @@ def load_encoder(ranks: str | None = None, pattern: str | None = None, special:
 
 def _tokeniser(ranks: str | None, pattern: str | None, special: dict[str, int] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = None
+        encode, last, ids, made = None, None, None, b""
         for batch in batches:
-            encode = encode or load_encoder(ranks, pattern, special)
+            encode = encode or load_encoder(ranks, pattern, special, arrays=True)
             size, raw = [], []
             for cell in batch.column(1):
-                ids = np.array([*encode(cell.as_py()), 0], dtype="<u4")
+                # a mix lays copies side by side
+                if (text := cell.as_py()) != last:
+                    ids, last = np.append(encode(text), np.uint32(0)).astype("<u4", copy=False), text
+                    made = (ids.astype("<u2") if ids.max() < 65536 else ids).tobytes()
                 size.append(len(ids))
-                raw.append((ids.astype("<u2") if ids.max() < 65536 else ids).tobytes())
+                raw.append(made)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "doc_tokens", "raw"])
 
     return run
@@ -101,12 +107,15 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _vectors(rarity: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         axes = np.random.default_rng(7).standard_normal((FEATURES, DIMS), dtype=np.float32)
+        last, made = None, b""
         for batch in batches:
             out = []
             for n, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                feature, count = np.unique(_features(n, raw), return_counts=True)
-                v = (np.sqrt(count) * rarity[feature]).astype(np.float32) @ axes[feature]
-                out.append((v / max(float(np.linalg.norm(v)), 1e-9)).astype("<f2").tobytes())
+                if (n, raw) != last:
+                    feature, count = np.unique(_features(n, raw), return_counts=True)
+                    v = (np.sqrt(count) * rarity[feature]).astype(np.float32) @ axes[feature]
+                    last, made = (n, raw), (v / max(float(np.linalg.norm(v)), 1e-9)).astype("<f2").tobytes()
+                out.append(made)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.binary())], names=["uid", "doc_tokens", "vec"])
 
     return run
@@ -210,10 +219,17 @@ def _with_end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
     yield None
 
 
-def content_vectors(made: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """(uid, doc_tokens, vec) of made's (uid, doc_tokens, raw), and the mean and the directions that ``own_part`` takes away.
+def token_copies(made: DataFrame) -> DataFrame:
+    """(uid, first, doc_tokens): each row of made's (uid, doc_tokens, tag) whose tokens another one with a smaller uid has, and the smallest."""
+    firsts = made.groupBy("tag", "doc_tokens").agg(F.min("uid").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return shared_table(made.select("uid", "tag", "doc_tokens").join(firsts, ["tag", "doc_tokens"]).where("uid != first").select("uid", "first", "doc_tokens"), "copies")
 
-    Rarity is counted over all documents; only the shared directions come from a bounded sample.
+
+def content_vectors(made: DataFrame, copies: DataFrame | None = None) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(uid, doc_tokens, vec) of made's (uid, doc_tokens, raw) but for ``copies``, and the mean and the directions that ``own_part`` takes away.
+
+    Rarity is counted over all documents and every document but a copy has its vector; only the shared
+    directions are fitted on a bounded sample, of different vectors, however often one of them occurs.
     """
     # a row per feature, FEATURES at most
     counts = made.select("doc_tokens", "raw").mapInArrow(_spread, "feature long, docs long").groupBy("feature").agg(F.sum("docs").alias("docs")).collect()
@@ -221,19 +237,24 @@ def content_vectors(made: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]
     rarity = np.full(FEATURES, np.log(n + 1.0), dtype=np.float32)
     for r in counts:
         rarity[r["feature"]] = np.log((n + 1.0) / r["docs"])
-    vectors = shared_table(made.select("uid", "doc_tokens", "raw").mapInArrow(_vectors(rarity), "uid long, doc_tokens long, vec binary"), "vectors")
-    sample = vectors.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(FIT_ROWS).collect()
+    vectors = made.select("uid", "doc_tokens", "raw").mapInArrow(_vectors(rarity), "uid long, doc_tokens long, vec binary")
+    if copies is not None:
+        vectors = vectors.join(copies.select("uid"), "uid", "left_anti")
+    vectors = shared_table(vectors, "vectors")
+    # about eight times as many as are taken, so that few are sorted
+    some = vectors.where(F.pmod(F.xxhash64("vec"), F.lit(max(1, n // (8 * FIT_ROWS)))) == 0).select("vec").distinct()
+    sample = some.orderBy(F.xxhash64(F.lit("fit"), "vec"), "vec").limit(FIT_ROWS).collect()
     return vectors, *shared_directions(_floats([bytes(r["vec"]) for r in sample]))
 
 
-def neighbour_links(made: DataFrame, region_rows: int = REGION_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(uid, doc_tokens, key): every document and its key in the first layout; (uid, other, likeness): its links.
+def neighbour_links(made: DataFrame, region_rows: int = REGION_ROWS, copies: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(uid, doc_tokens, key): every document but ``copies`` and its key in the first layout; (uid, other, likeness): its links.
 
-    made: (uid, doc_tokens, raw). A document has NEIGHBOURS links at most of its own,
-    whatever the number of its copies, and every document is compared to a stretch of
-    region_rows others in each layout.
+    made: (uid, doc_tokens, raw). A document has NEIGHBOURS links at most of its own, none
+    of them to a copy, and every document is compared to a stretch of region_rows others
+    in each layout.
     """
-    vectors, mean, shared = content_vectors(made)
+    vectors, mean, shared = content_vectors(made, copies)
     laid = shared_table(vectors.mapInArrow(_layouts(mean, shared), "layout int, key long, uid long, doc_tokens long, vec binary"), "layouts")
     parts = max(1, -(-laid.count() // PARTITION_ROWS))
     sorted_rows = laid.drop("doc_tokens").repartitionByRange(parts, "layout", "key", "uid").sortWithinPartitions("layout", "key", "uid")
@@ -259,7 +280,7 @@ def walk(links: list[dict[int, float]]) -> list[int]:
 
 def _walker(region_rows: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count = itertools.count(TaskContext.get().partitionId() << 20)
+        count = itertools.count(TaskContext.get().partitionId() << 18)
 
         def region(pdf: pd.DataFrame) -> pd.DataFrame:
             place = {u: i for i, u in enumerate(pdf["uid"].tolist())}
@@ -269,8 +290,10 @@ def _walker(region_rows: int):
                     if (j := place.get(x["other"])) is not None:
                         links[i][j] = links[j][i] = x["likeness"]
             pdf = pdf.iloc[walk(links)]
-            ends = pdf["doc_tokens"].cumsum()
-            return pd.DataFrame({"uid": pdf["uid"], "region": next(count), "place": ends - pdf["doc_tokens"], "total": int(ends.iloc[-1])})
+            # copies follow their document
+            size = pdf["doc_tokens"] * (1 + pdf["copies"])
+            ends = size.cumsum()
+            return pd.DataFrame({"uid": pdf["uid"], "region": next(count), "place": ends - size, "total": int(ends.iloc[-1])})
 
         # documents without a group are told apart by their uids
         yield from _stretches(region_rows, region, "group")(pdf.assign(group=pdf["component"].fillna(-1 - pdf["uid"])) for pdf in batches)
@@ -314,7 +337,7 @@ def _cutter(window: int, tokens: bool):
                 start = 0
                 for nth, offset, length in cuts(place, place + n, total, window):
                     piece = ids[start : start + length].tobytes()
-                    rows.append((doc_id, start, length, zlib.crc32(piece), n, (region << 22) + nth, offset))
+                    rows.append((doc_id, start, length, zlib.crc32(piece), n, (region << 28) + nth, offset))
                     if tokens:
                         held.append(np.frombuffer(piece, dtype="<u4"))
                     start += length
@@ -339,23 +362,28 @@ def pack(docs: DataFrame, window: int = WINDOW, tokens: bool = False, ranks: str
     doesn't.
 
     Groups of linked documents lie together in a region; only those of more than two
-    regions' size are cut.
+    regions' size are cut. Rows of equal tokens lie beside each other, however many.
     """
     text = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
     made = text.mapInArrow(_tokeniser(ranks, pattern, special), "doc_id long, doc_tokens long, raw binary")
     # the row number is fixed by being written
-    made = shared_table(made.withColumn("uid", F.monotonically_increasing_id()), "tokens")
-    keys, links = neighbour_links(made, region_rows)
+    made = shared_table(made.withColumns({"uid": F.monotonically_increasing_id(), "tag": F.xxhash64("raw")}), "tokens")
+    copies = token_copies(made)
+    keys, links = neighbour_links(made, region_rows, copies)
     # likeness goes both ways, so whoever is linked to has links of its own
     near = links.groupBy("uid").agg(F.collect_list(F.struct("other", "likeness")).alias("near"))
     groups = connected_components(links, "uid", "other").select(F.col("node").alias("uid"), "component")
-    laid = keys.join(near.join(groups, "uid"), "uid", "left")
+    number = copies.groupBy(F.col("first").alias("uid")).agg(F.count("*").alias("copies"))
+    laid = keys.join(near.join(groups, "uid"), "uid", "left").join(number, "uid", "left").fillna(0, ["copies"])
     laid = shared_table(laid, "laid")
     # documents without a link are groups of their own, laid out by their keys
     order = [F.col("component").isNotNull(), F.coalesce("component", F.lit(0)), F.col("key"), F.col("uid")]
     laid = laid.repartitionByRange(max(1, -(-laid.count() // PARTITION_ROWS)), *order).sortWithinPartitions(*order)
     plan = shared_table(laid.mapInPandas(_walker(region_rows), "uid long, region long, place long, total long"), "plan")
-    placed = made.select("uid", "doc_id", "doc_tokens", "raw").join(plan, "uid").select("doc_id", "doc_tokens", "raw", "region", "place", "total")
+    nth = numbered(copies, ["first"], "uid", "nth").join(plan.withColumnRenamed("uid", "first"), "first")
+    plan = plan.unionByName(nth.select("uid", "region", (F.col("place") + F.col("nth") * F.col("doc_tokens")).alias("place"), "total"))
+    # the plan grows with the rows, and is small only where they are few
+    placed = made.select("uid", "doc_id", "doc_tokens", "raw").hint("merge").join(plan, "uid").select("doc_id", "doc_tokens", "raw", "region", "place", "total")
     return placed.mapInArrow(_cutter(window, tokens), _PIECES + (", tokens array<long>" if tokens else ""))
 
 

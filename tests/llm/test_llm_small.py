@@ -72,6 +72,13 @@ def test_near_rows_are_the_nearest():
     assert all(len(v) == 0 for v in packing.near_rows(x[:1].copy()))
 
 
+def test_encoder_gives_lists_and_arrays_of_the_same_ids():
+    for special in (None, {}):
+        one, other = packing.load_encoder(special=special), packing.load_encoder(special=special, arrays=True)
+        for text in ("", "a", "<|endoftext|> a<|endoftext|>", "naïve  \n\t 漢字 🙂 it's 12345 " * 50):
+            assert list(one(text)) == other(text).tolist()
+
+
 def test_encoder_equals_the_tokenizers_vocabulary():
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer

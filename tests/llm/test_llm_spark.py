@@ -1,6 +1,7 @@
 """Operators on small tables against brute force, and on awkward rows."""
 
 import hashlib
+import itertools
 import json
 import math
 import random
@@ -171,6 +172,24 @@ def test_graph_over_many_regions_matches_brute_force(spark):
     assert sum(a == b for a, b in zip(group, group[1:])) > 0.7 * len(group)
 
 
+def test_copies_take_no_links_from_other_texts(spark):
+    """Two texts that are near each other lie side by side, even if each has more copies than a document has links."""
+    rng = random.Random(23)
+    rows = []
+    for i in range(40):
+        base = words(rng, 80).split()
+        for j in range(2):
+            text = " ".join(w if rng.random() < 0.95 else words(rng, 1) for w in base)
+            rows += [(1000 * i + 100 * j + k, text) for k in range(15)]
+    rng.shuffle(rows)
+    made = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), tokens=True, region_rows=128).collect()
+    check_pieces(made, rows)
+    laid = [r.doc_id // 100 for r in sorted(made, key=lambda r: (r.sequence_id, r.offset)) if r.start == 0]
+    # 15 copies in one run, and the other text's beside them; a greedy walk may part a few
+    runs = [k for k, _ in itertools.groupby(laid)]
+    assert len(runs) == 80 and len([k for k, _ in itertools.groupby(runs, key=lambda k: k // 10)]) <= 44
+
+
 def brute_nearest(rows, every, k):
     """By query id and row, since a repeated id is several queries: the sorted results."""
     v = [(i, np.array(x, dtype=np.float64)) for i, x in rows]

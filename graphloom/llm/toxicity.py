@@ -13,7 +13,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +75,7 @@ class Model:
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's features and the end of each sentence among them, as 32-bit numbers."""
     for batch in batches:
         ids, ends = [], []
         for cell in batch.column(1):
@@ -84,9 +84,9 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if got := sentence_features(m[0]):
                     flat += got
                     at.append(len(flat))
-            ids.append(flat)
-            ends.append(at)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], names=["toxic", "ids", "ends"])
+            ids.append(np.array(flat, dtype="<i4").tobytes())
+            ends.append(np.array(at, dtype="<i4").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(ends, pa.binary())], names=["toxic", "ids", "ends"])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
@@ -101,37 +101,56 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) ->
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, steps: int = 120, l1: float = 1e-4) -> Model:
-    """Adam on the whole sample at once; without two classes the model is a constant."""
-    bags = labelled_sample(docs, labels, rows).mapInArrow(_bags, "toxic int, ids array<int>, ends array<int>").toPandas()
-    # rows arrive in any order; the same order each time makes reruns agree
-    bags["_key"] = [zlib.crc32(np.asarray(x, dtype=np.int32).tobytes()) for x in bags["ids"]]
-    bags = bags.sort_values(["_key", "toxic"], kind="stable").reset_index(drop=True)
-    y = bags["toxic"].to_numpy(dtype=np.float64)
-    prior = (y.sum() + 1) / (len(y) + 2)
-    if len(y) == 0 or y.min() == y.max():
-        return Model({}, float(np.log(prior / (1 - prior))))
-    return _train(bags, y, prior, steps, l1)
-
-
-def _train(bags: pd.DataFrame, y: np.ndarray, prior: float, steps: int, l1: float) -> Model:
+    """Adam on the whole sample at once; without two classes the model is a constant.
+
+    The sample meets in one task of an executor, and only the weights come to the driver.
+    """
+    bags = labelled_sample(docs, labels, rows).mapInArrow(_bags, "toxic int, ids binary, ends binary")
+    found = bags.repartition(1).mapInArrow(_fitter(steps, l1), "bias double, features binary, weights binary").collect()
+    if not found:
+        return Model({}, 0.0)
+    features, weights = np.frombuffer(found[0]["features"], dtype="<i4"), np.frombuffer(found[0]["weights"], dtype="<f8")
+    return Model(dict(zip(features.tolist(), weights.tolist())), found[0]["bias"])
+
+
+def _fitter(steps: int, l1: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows arrive in any order; the same order each time makes reruns agree
+        bags = sorted((row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns))), key=lambda x: (zlib.crc32(x[1]), x[0]))
+        y = np.array([x[0] for x in bags], dtype=np.float64)
+        prior = (y.sum() + 1) / (len(y) + 2)
+        if len(y) == 0 or y.min() == y.max():
+            features, weights, bias = np.zeros(0, dtype=np.int64), np.zeros(0), float(np.log(prior / (1 - prior)))
+        else:
+            features, weights, bias = _train(bags, y, prior, steps, l1)
+        columns = [pa.array([bias], pa.float64()), pa.array([features.astype("<i4").tobytes()], pa.binary()), pa.array([weights.astype("<f8").tobytes()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["bias", "features", "weights"])
+
+    return run
+
+
+def _train(bags: list[tuple[int, bytes, bytes]], y: np.ndarray, prior: float, steps: int, l1: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """The features with a weight, their weights, and the bias; ``bags`` is emptied."""
     # one document at a time, so that no array is much larger than the features that are kept
-    counts = np.array([max(1, len(e)) for e in bags["ends"]])
+    counts = np.array([max(1, len(e) // 4) for _, _, e in bags])
     first = np.concatenate([[0], np.cumsum(counts)])
     doc = np.repeat(np.arange(len(y), dtype=np.int32), counts)
     docs_with = np.zeros(BUCKETS, dtype=np.int32)
-    for x in bags["ids"]:
-        docs_with[np.unique(x)] += 1
+    for _, x, _ in bags:
+        docs_with[np.unique(np.frombuffer(x, dtype="<i4"))] += 1
     words = np.flatnonzero(docs_with >= LEAST_DOCS)
     place = np.full(BUCKETS, -1, dtype=np.int32)
     place[words] = np.arange(len(words))
     cols, sentences = [], []
-    for d, (x, e) in enumerate(zip(bags["ids"], bags["ends"], strict=True)):
+    for d, (_, x, e) in enumerate(bags):
+        x, e = np.frombuffer(x, dtype="<i4"), np.frombuffer(e, dtype="<i4")
         at = np.repeat(np.arange(first[d], first[d] + len(e), dtype=np.int32), np.diff(e, prepend=0))
-        col = place[np.asarray(x, dtype=np.int32)]
+        col = place[x]
         cols.append(col[col >= 0])
         sentences.append(at[col >= 0])
     col, sentence = np.concatenate(cols), np.concatenate(sentences)
-    del cols, sentences, bags
+    del cols, sentences
+    bags.clear()
     n_sentences, n_docs = len(doc), len(y)
     w, b = np.zeros(len(words)), float(np.log(prior / max(1.0, n_sentences / n_docs)))
     m1, m2, rate = np.zeros(len(words) + 1), np.zeros(len(words) + 1), 0.1
@@ -147,7 +166,8 @@ def _train(bags: pd.DataFrame, y: np.ndarray, prior: float, steps: int, l1: floa
         step = pace * m1 / (1 - 0.9**t)
         w, b = w - step[:-1], b - step[-1]
         w = np.sign(w) * np.maximum(np.abs(w) - pace[:-1] * l1, 0)
-    return Model({int(i): float(x) for i, x in zip(words, w) if abs(x) > 1e-3}, float(b))
+    some = np.abs(w) > 1e-3
+    return words[some], w[some], float(b)
 
 
 def _scorer(model: Model, least: float, with_text: bool):

@@ -7,6 +7,7 @@ import math
 import random
 import struct
 import sys
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -328,6 +329,23 @@ def test_toxicity(spark, docs, clashing, empty):
     assert toxicity.score_toxicity(empty, model, ["doc_id"]).count() == 0
 
 
+def test_only_weights_of_the_fit_come_to_the_driver(spark):
+    words = F.transform(F.sequence(F.lit(1), F.lit(300)), lambda i: F.concat(F.lit("word"), F.pmod(F.hash("id", i), F.lit(400))))
+    bad = F.col("id") % 6 == 0
+    made = spark.range(1500).select(F.col("id").alias("doc_id"), F.concat_ws(" ", words, F.when(bad, F.lit("grumbler"))).alias("text"), bad.cast("int").alias("toxic"))
+    made.cache().count()
+    tracemalloc.start()
+    try:
+        model = toxicity.fit(made, made)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        made.unpersist()
+    # the sample has more than a million features
+    assert peak < 4_000_000
+    assert model.word("grumbler") > max(model.word(f"word{i}") for i in range(400))
+
+
 def signed_hash(text):
     h = xxhash.xxh64_intdigest(text.encode(), 42)
     return h - (h >> 63 << 64)

@@ -2,10 +2,12 @@
 
 import math
 import random
+import time
 from collections import Counter
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -90,6 +92,32 @@ def test_encoder_equals_the_tokenizers_vocabulary():
         assert encode(s) == t.encode(s, add_special_tokens=False).ids
 
 
+@pytest.fixture(scope="module")
+def encoders():
+    # the vocabulary's own pattern, in a group, is no key of FASTER
+    P = pytest.importorskip("public_tokenizers")
+    assert P.PATTERN in packing.FASTER
+    return packing.load_encoder(), packing.load_encoder(pattern=f"(?:{P.PATTERN})")
+
+
+@settings(max_examples=500)
+@given(st.lists(st.one_of(st.sampled_from([" ", "  ", "\n", "\r\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "\u2028", "\u3000", "'", "'s", "'re", "'LL", "a", "é", "é", "漢", "7", "½", "_", "-", ".", "\u200b", "🙂"]), st.characters(exclude_categories=["Cs"])), max_size=14).map("".join))
+def test_faster_pattern_gives_the_same_ids(encoders, text):
+    faster, plain = encoders
+    assert faster(text) == plain(text)
+
+
+def test_counting_a_document_costs_no_pass_over_all_features(monkeypatch):
+    monkeypatch.setattr(packing, "FEATURES", 1 << 22)
+    docs = [[i % 7, i % 7, 40_000 + i, 5, 0] for i in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array([len(d) for d in docs], pa.int64()), pa.array([np.array(d, dtype="<u2").tobytes() for d in docs], pa.binary())], names=["doc_tokens", "raw"])
+    began = time.process_time()
+    (got,) = packing._spread([batch])
+    took = time.process_time() - began
+    assert dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist())) == Counter(f for d in docs for f in set(d[:-1]))
+    assert took < 0.3
+
+
 def brute_simhash(text):
     import xxhash
 

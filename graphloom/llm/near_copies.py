@@ -15,14 +15,16 @@ stays is like it. So the rounds grow with the logarithm of the unlike documents
 and alike ones, however many, meet few others. As soon as the keys' pairs are PAIRS a row at most
 after a round, all that are left are compared at once.
 
-Sketches are compared where the rows of a key lie, so only pairs with like sketches ever are rows;
-a key of more than BLOCK rows is dealt over blocks, and its hubs are sent to each of them.
+Sketches are compared where the rows of a key lie, and then whole sets too, which are sent to the
+places that need them; a pair that meets under several keys is compared under one. So only alike
+pairs ever are rows, and of all others a place holds a row a document. A key of more than BLOCK rows
+is dealt over blocks, and its hubs are sent to each of them.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,9 +73,9 @@ def minima(hashes: np.ndarray, by: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return least
 
 
-def band_keys(least: np.ndarray) -> list[int]:
-    """A signed 64-bit key a band; sets without shingles share theirs."""
-    return [_signed(xxhash.xxh64_intdigest(row.tobytes(), i)) for i, row in enumerate(least.reshape(BANDS, ROWS))]
+def band_keys(sketch: np.ndarray) -> list[int]:
+    """A signed 64-bit key a band; equal where the band's part of the sketch is. Sets without shingles share theirs."""
+    return [_signed(xxhash.xxh64_intdigest(row.tobytes(), i)) for i, row in enumerate(sketch.reshape(BANDS, ROWS))]
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,10 +85,10 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in batch.column(2):
             hashes = shingle_set(cell.as_py())
             whole.append(xxhash.xxh3_128_digest(hashes.tobytes()))
-            least = minima(hashes, by)
-            bands.append(band_keys(least))
+            sketch = minima(hashes, by).astype("<u2")
+            bands.append(band_keys(sketch))
             sizes.append(len(hashes))
-            sketches.append(least.astype("<u2").tobytes())
+            sketches.append(sketch.tobytes())
         columns = [batch.column(0), batch.column(1), pa.array(whole, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "whole", "bands", "size", "sketch"])
 
@@ -97,27 +99,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), made], names=["id", "shingles"])
 
 
-def _sketched(least: float):
-    """(id, hub) of each row that asks and each hub before it in its place whose sketches have SKETCHED minima in common.
-
-    Rows (band, block, id, hub, asks, size, sketch) are sorted by place and id; a place is a block of a band.
-    """
-
-    def pairs(rows: pa.RecordBatch, start: np.ndarray) -> Iterator[pa.RecordBatch]:
-        hub, asks, size = (rows.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5))
-        sketch = np.frombuffer(b"".join(rows.column(6).to_pylist()), dtype="<u2").reshape(len(rows), -1)
-        hubs, before = np.flatnonzero(hub), np.cumsum(hub) - hub
-        most = np.where(asks, before - before[start], 0)
-        ends = np.cumsum(most)
-        for at in range(0, int(ends[-1]), _PAIRS_AT_ONCE):
-            nth = np.arange(at, min(at + _PAIRS_AT_ONCE, int(ends[-1])))
-            a = np.searchsorted(ends, nth, "right")
-            b = hubs[before[start[a]] + nth - (ends[a] - most[a])]
-            # sets of sizes too unlike can't be alike
-            near = np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b])
-            a, b = a[near], b[near]
-            near = (sketch[a] == sketch[b]).sum(axis=1) >= SKETCHED
-            yield pa.RecordBatch.from_arrays([rows.column(2).take(pa.array(x[near])) for x in (a, b)], names=["id", "hub"])
+def _by_place(of: Callable[[pa.RecordBatch, np.ndarray], Iterator[pa.RecordBatch]]):
+    """``of`` whole places, and for each row the first one of its place. Rows (band, block, ...) are sorted by place, a block of a band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -132,27 +115,92 @@ def _sketched(least: float):
             first = np.r_[True, (place[0][1:] != place[0][:-1]) | (place[1][1:] != place[1][:-1])]
             start = np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))
             end = len(rows) if batch is None else int(start[-1])
-            yield from pairs(rows.slice(0, end), start[:end])
+            yield from of(rows.slice(0, end), start[:end])
             held = [rows.slice(end)]
 
     return run
 
 
-def _alike(least: float):
-    """The pairs whose sets are ``least`` or more alike."""
+def _near(rows: pa.RecordBatch, start: np.ndarray, least: float, once: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The rows that ask and the hubs before them in their place whose sketches have SKETCHED minima in common."""
+    hub, asks, size = (rows.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5))
+    sketch = np.frombuffer(b"".join(rows.column(6).to_pylist()), dtype="<u2").reshape(len(rows), -1)
+    hubs, before = np.flatnonzero(hub), np.cumsum(hub) - hub
+    most = np.where(asks, before - before[start], 0)
+    ends = np.cumsum(most)
+    for at in range(0, int(ends[-1]) if len(ends) else 0, _PAIRS_AT_ONCE):
+        nth = np.arange(at, min(at + _PAIRS_AT_ONCE, int(ends[-1])))
+        a = np.searchsorted(ends, nth, "right")
+        b = hubs[before[start[a]] + nth - (ends[a] - most[a])]
+        # sets of sizes too unlike can't be alike
+        near = np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b])
+        a, b = a[near], b[near]
+        same = sketch[a] == sketch[b]
+        near = same.sum(axis=1) >= SKETCHED
+        if once:
+            mine, hub_in = (rows.column(i).to_numpy() for i in (7, 8))
+            # the bands that both share and the second is a hub of, and at last the class
+            meet = same.reshape(-1, BANDS, ROWS).all(axis=2) & (hub_in[b][:, None] >> np.arange(BANDS) & 1).astype(bool)
+            near &= np.c_[meet, np.ones(len(meet), bool)].argmax(axis=1) == mine[a]
+        yield a[near], b[near]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for key, hub, a, b in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                a, b = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+
+def _sketched(least: float):
+    """(id, hub) of each row that asks and each hub before it in its place whose sketches have SKETCHED minima in common.
+
+    Rows (band, block, id, hub, asks, size, sketch) are sorted by place and id.
+    """
+
+    def pairs(rows: pa.RecordBatch, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for found in _near(rows, start, least, False):
+            yield pa.RecordBatch.from_arrays([rows.column(2).take(pa.array(x)) for x in found], names=["id", "hub"])
+
+    return _by_place(pairs)
+
+
+def _asked(least: float):
+    """The pairs of ``_sketched``, as a row (band, block, id, hubs) of each id that asks, and one without hubs of each other hub.
+
+    Rows have two more columns: the number of the band, and a bit for each band in which the id is a hub. A pair is found
+    in the first band only where it meets, and in the class only if it meets in no band.
+    """
+
+    def asked(rows: pa.RecordBatch, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+        said, named = np.zeros(len(rows), bool), np.zeros(len(rows), bool)
+
+        def made(at: np.ndarray, ends: np.ndarray, hubs: np.ndarray) -> pa.RecordBatch:
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows.column(2).take(pa.array(hubs, pa.int64())))
+            return pa.RecordBatch.from_arrays([*(rows.column(i).take(pa.array(at)) for i in range(3)), lists], names=["band", "block", "id", "hubs"])
+
+        for a, b in _near(rows, start, least, True):
+            at, first = np.unique(a, return_index=True)
+            said[at] = named[b] = True
+            yield made(at, np.r_[first, len(a)], b)
+        others = np.flatnonzero(named & ~said)
+        yield made(others, np.zeros(len(others) + 1, int), others[:0])
+
+    return _by_place(asked)
+
+
+def _alike(least: float):
+    """The pairs (id, hub) of rows (band, block, id, hubs, shingles), sorted by place, whose sets are ``least`` or more alike."""
+
+    def alike(rows: pa.RecordBatch, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids, hubs, sets = rows.column(2).to_pylist(), rows.column(3).to_pylist(), rows.column(4)
+        out, at, of = [], -1, {}
+        for i, first in enumerate(start):
+            if first != at:
+                end = int(np.searchsorted(start, first, "right"))
+                at, of = first, {ids[j]: np.frombuffer(sets[j].as_buffer(), dtype=np.uint64) for j in range(first, end)}
+            a = of[ids[i]]
+            for hub in hubs[i]:
+                b = of[hub]
                 shared = len(np.intersect1d(a, b, assume_unique=True))
                 if shared >= least * (len(a) + len(b) - shared):
-                    out.append((key, hub))
-            columns = [pa.array([pair[i] for pair in out], batch.schema.field(i).type) for i in range(2)]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "hub"])
+                    out.append((ids[i], hub))
+        yield pa.RecordBatch.from_arrays([pa.array([pair[i] for pair in out], rows.schema.field(2).type) for i in range(2)], names=["id", "hub"])
 
-    return run
+    return _by_place(alike)
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", least: float = LEAST, most_pairs: int = PAIRS, block_rows: int = BLOCK) -> DataFrame:
@@ -172,8 +220,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", least: float = LEAST, most_pairs
     firsts = rows.groupBy("whole").agg(F.min("id").alias("id")).select("id")
     firsts = shared_table(rows.join(firsts, "id", "left_semi").select("id", "h", "bands", "size", "sketch"), "firsts")
 
-    classes = near_classes(named, key, SHINGLE).select(F.col(key).alias("id"), F.xxhash64(F.lit("class"), "component_id").alias("band")).distinct()
-    spread = firsts.select("id", F.explode("bands").alias("band")).unionByName(classes.join(firsts.select("id"), "id", "left_semi"))
+    classes = near_classes(named, key, SHINGLE).select(F.col(key).alias("id"), F.xxhash64(F.lit("class"), "component_id").alias("band"), F.lit(BANDS).alias("nth")).distinct()
+    spread = firsts.select("id", F.posexplode("bands").alias("nth", "band")).select("id", "band", "nth").unionByName(classes.join(firsts.select("id"), "id", "left_semi"))
     shared = spread.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     left = shared_table(spread.hint("merge").join(shared, "band", "left_semi"), "bands")
     waiting = left.select("id").distinct()
@@ -184,19 +232,18 @@ def dedup(docs: DataFrame, key: str = "doc_id", least: float = LEAST, most_pairs
     sketches = firsts.join(waiting, "id", "left_semi").select("id", "size", "sketch")
 
     def compared(ranked: DataFrame) -> DataFrame:
-        """(id, hub) of the rows (id, band, hub) and the smaller hubs of their bands that are alike."""
+        """(id, hub) of the rows (id, band, nth, hub, hub_in) and the smaller hubs of their bands that are alike."""
         blocks = F.ceil(F.count("*") / block_rows).alias("blocks")
         large = F.broadcast(shared_table(ranked.groupBy("band").agg(blocks).where("blocks > 1"), "large"))
         # a band that is dealt has its hubs in each block, and besides them the rows that ask
         dealt = ranked.join(large, "band", "left")
-        own = dealt.select("band", F.coalesce(F.pmod(F.xxhash64("id"), F.col("blocks")), F.lit(0)).alias("block"), "id", (F.col("hub") & F.col("blocks").isNull()).alias("hub"), F.lit(True).alias("asks"))
-        sent = ranked.where("hub").join(large, "band").select("band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "id", F.lit(True).alias("hub"), F.lit(False).alias("asks"))
+        own = dealt.select("band", F.coalesce(F.pmod(F.xxhash64("id"), F.col("blocks")), F.lit(0)).alias("block"), "id", (F.col("hub") & F.col("blocks").isNull()).alias("hub"), F.lit(True).alias("asks"), "nth", "hub_in")
+        sent = ranked.where("hub").join(large, "band").select("band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "id", F.lit(True).alias("hub"), F.lit(False).alias("asks"), "nth", "hub_in")
         met = own.unionAll(sent).hint("merge").join(sketches, "id").repartition("band", "block").sortWithinPartitions("band", "block", "id", F.desc("asks"))
-        found = met.select("band", "block", "id", "hub", "asks", "size", "sketch").mapInArrow(_sketched(least), f"id {kind}, hub {kind}")
-        some = shared_table(found.distinct(), "sketched")
-        of = lambda name: sets.select(F.col("id").alias(name), F.col("shingles").alias(f"_{name}"))
-        pairs = some.join(of("id"), "id").hint("merge").join(of("hub"), "hub").select("id", "hub", "_id", "_hub")
-        return pairs.mapInArrow(_alike(least), f"id {kind}, hub {kind}")
+        found = met.select("band", "block", "id", "hub", "asks", "size", "sketch", "nth", "hub_in")
+        some = shared_table(found.mapInArrow(_asked(least), f"band long, block long, id {kind}, hubs array<{kind}>"), "sketched")
+        whole = some.join(sets, "id").repartition("band", "block").sortWithinPartitions("band", "block")
+        return whole.select("band", "block", "id", "hubs", "shingles").mapInArrow(_alike(least), f"id {kind}, hub {kind}")
 
     gone, most = rows.select("id").limit(0), 1
     while not left.isEmpty():
@@ -206,11 +253,13 @@ def dedup(docs: DataFrame, key: str = "doc_id", least: float = LEAST, most_pairs
         if most > 1 and pairs_left <= most_pairs * rows_left:
             most = largest
         nth = F.row_number().over(Window.partitionBy("band").orderBy("id"))
-        left = shared_table(left.withColumn("_n", nth).select("id", "band", (F.col("_n") <= most).alias("hub")), "ranked")
+        left = left.withColumn("_n", nth).select("id", "band", "nth", (F.col("_n") <= most).alias("hub"))
+        hub_in = F.bit_or(F.when(F.col("hub"), F.expr("shiftleft(1L, nth)")).otherwise(F.lit(0).cast("long")))
+        left = shared_table(left.withColumn("hub_in", hub_in.over(Window.partitionBy("id"))), "ranked")
         links = shared_table(compared(left), "links")
         # those that have met all smaller ones with their keys, and that all larger ones have met
         full = shared_table(left.groupBy("id").agg(F.bool_and("hub").alias("hub")).where("hub").select("id"), "full")
-        left = left.drop("hub")
+        left = left.drop("hub", "hub_in")
         while True:
             stays = full.join(links.select("id").distinct(), "id", "left_anti")
             drop = shared_table(links.join(stays.select(F.col("id").alias("hub")), "hub", "left_semi").select("id").distinct(), "gone")

@@ -628,6 +628,35 @@ def test_unlike_texts_of_one_band_meet_without_a_row_a_pair(spark, monkeypatch):
     assert sorted(r.doc_id for r in near_copies.dedup(df, most_pairs=0, block_rows=7).collect()) == list(range(240))
 
 
+def test_sets_of_texts_that_sketches_cannot_part_meet_without_a_row_a_pair(spark, monkeypatch):
+    """200 texts of likeness 0.66 to 0.78 to each other all stay; their sets are sent to bands, not to pairs, and a pair meets once."""
+    rng = random.Random(31)
+    common = words(rng, 200).split()
+    rows = []
+    for i, edits in enumerate(rng.sample(list(itertools.combinations(range(5, 195, 5), 4)), 200)):
+        own = list(common)
+        for at in edits:
+            own[at] = f"v{i}x{at}"
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen, write = {}, near_copies.shared_table
+
+    def counted(made, label):
+        out = write(made, label)
+        seen.setdefault(label, []).append(out)
+        return out
+
+    monkeypatch.setattr(near_copies, "shared_table", counted)
+    for how in ({}, {"most_pairs": 0, "block_rows": 7}):
+        seen.clear()
+        assert sorted(r.doc_id for r in near_copies.dedup(df, **how).collect()) == list(range(200))
+        if not how:
+            for ranked, sketched in zip(seen["ranked"], seen["sketched"], strict=True):
+                assert sketched.count() <= ranked.count() < 200 * 199 / 4
+            met = [(r.id, hub) for r in seen["sketched"][-1].collect() for hub in r.hubs]
+            assert len(met) == len(set(met)) > 0.7 * 200 * 199 / 2
+
+
 def test_sketched_pairs_are_those_of_each_place(spark):
     rng = np.random.default_rng(5)
     rows = [(int(band), int(block), i, bool(rng.random() < 0.4), bool(rng.random() < 0.8)) for i, (band, block) in enumerate(rng.integers(0, [[6, 2]] * 400))]

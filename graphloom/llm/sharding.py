@@ -13,9 +13,9 @@ import hashlib
 from collections import deque
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import how_many, shared_table, shield, table, text_or_empty
 
@@ -85,24 +85,22 @@ def assign_shards(rows: DataFrame, key: Sequence[str], shards: int = SHARDS, vno
     hot = alike.where(F.col("_n") > max(HOT_ROWS, binned.count() // HOT_SHARE)).select("_arc", "_sub", "_tie", F.lit(True).alias("_hot"))
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("_id"), F.lit(SALTS)) + 1).otherwise(0)
     binned = binned.join(F.broadcast(hot), ["_arc", "_sub", "_tie"], "left").withColumn("_salt", salt.cast("int")).drop("_hot")
-    # (shards x vnodes x SUB_BINS) + (HOT_SHARE x SALTS) counts at most, whatever the input
-    counted = sorted(map(tuple, binned.groupBy("_arc", "_sub", "_salt").count().collect()))
-    by_arc: list[list[tuple[int, int, int]]] = [[] for _ in nodes]
-    for a, s, z, n in counted:
-        by_arc[a].append((s, z, n))
-    counts = [sum(n for _, _, n in x) for x in by_arc]
+    # (shards x vnodes x SUB_BINS) + (HOT_SHARE x SALTS) counts at most, whatever the input; only the arcs' sums come to the driver
+    bins = ["_arc", "_sub", "_salt"]
+    counted = binned.groupBy(*bins).agg(F.count("*").alias("_n"))
+    counts = [0] * len(nodes)
+    for a, n in counted.groupBy("_arc").agg(F.sum("_n")).collect():
+        counts[a] = n
     runs = place_arcs(counts, [s for _, s in nodes], capacities(sum(counts), shards, slack))
-    plan = []
-    for a, subs in enumerate(by_arc):
-        before = 0
-        for s, z, n in subs:
-            plan.append((a, s, z, before, [r for i, r in enumerate(runs[a]) if r[0] < before + n and (i + 1 == len(runs[a]) or runs[a][i + 1][0] > before)]))
-            before += n
-    run = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())]))
-    schema = T.StructType([T.StructField("_arc", T.IntegerType()), T.StructField("_sub", T.IntegerType()), T.StructField("_salt", T.IntegerType()), T.StructField("_before", T.LongType()), T.StructField("_runs", run)])
-    placed = F.broadcast(rows.sparkSession.createDataFrame(plan, schema))
-    ranked = binned.withColumn("_rank", F.row_number().over(Window.partitionBy("_arc", "_sub", "_salt").orderBy("_tie", "_id")) - 1)
-    ranked = ranked.join(placed, ["_arc", "_sub", "_salt"])
+    run = pa.list_(pa.struct([("first", pa.int64()), ("shard", pa.int32()), ("slot", pa.int64())]))
+    plan = {"_arc": pa.array(range(len(nodes)), pa.int32()), "_runs": pa.array([[dict(zip(("first", "shard", "slot"), r)) for r in x] for x in runs], run)}
+    # an Arrow table stays in the JVM; rows would go through Python workers of the executors
+    placed = F.broadcast(rows.sparkSession.createDataFrame(pa.table(plan)))
+    before = F.sum("_n").over(Window.partitionBy("_arc").orderBy("_sub", "_salt").rowsBetween(Window.unboundedPreceding, -1))
+    before = counted.select(*bins, F.coalesce(before, F.lit(0)).alias("_before"))
+    ranked = binned.withColumn("_rank", F.row_number().over(Window.partitionBy(*bins).orderBy("_tie", "_id")) - 1)
+    # dealt and sorted by bins already
+    ranked = ranked.hint("merge").join(before, bins).join(placed, "_arc")
     ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before"))
     mine = F.element_at(F.filter("_runs", lambda r: r["first"] <= F.col("_rank")), -1)
     ranked = ranked.withColumn("_run", mine)

@@ -283,6 +283,27 @@ def test_very_many_equal_rows_are_ranked_in_parts(spark):
     assert len(slots) == 40 and all(sorted(x) == list(range(len(x))) for x in slots.values()) and {len(x) for x in slots.values()} == {575}
 
 
+def test_only_arcs_come_to_the_driver_and_go_back(spark, monkeypatch):
+    """20,000 rows lie in more than 15,000 bins; the driver gets and broadcasts a row an arc at most."""
+    df, nodes = spark.range(20000).withColumnRenamed("id", "k"), len(sharding.ring(40))
+    seen, frame, session = [], type(df), type(spark)
+    collect, create = frame.collect, session.createDataFrame
+
+    def collected(self):
+        seen.append(len(rows := collect(self)))
+        return rows
+
+    def created(self, data, *args, **how):
+        seen.append(len(data))
+        return create(self, data, *args, **how)
+
+    monkeypatch.setattr(frame, "collect", collected)
+    monkeypatch.setattr(session, "createDataFrame", created)
+    made = sharding.assign_shards(df, ["k"])
+    assert seen and max(seen) <= nodes == 2560
+    assert set(Counter(r.shard for r in collect(made)).values()) == {500}
+
+
 def test_bounded_loads_with_a_hot_key_move_little(spark):
     df = spark.range(6000).selectExpr("id", "case when id % 3 = 0 then 'hot' else cast(id as string) end as k")
     at = {n: {r.id: r.shard for r in sharding.assign_shards(df, ["k"], n, slack=0.25, tie=["id"]).collect()} for n in (20, 21)}

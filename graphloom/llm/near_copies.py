@@ -1,7 +1,7 @@
 """Near-copies by true shingle similarity: SimHash classes and MinHash bands find candidates, whole shingle sets decide.
 
 A text is its set of five-word shingles. Candidates of each other are the texts of one class
-of ball hashing (``simhash.near_classes``), which are all but equal, and those that share one
+of ball hashing (``simhash.near_links``), which are all but equal, and those that share one
 of the BANDS keys of ROWS minima each, for at a likeness of LEAST fingerprints differ in more
 bits than balls can reach. Two texts whose sets have a Jaccard likeness of LEAST or more share
 a key with a probability of 0.9996 or more; every pair that could decide is then compared, by
@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import shared_table, shield, text_or_empty
-from .simhash import _signed, near_classes
+from .components import connected_components
+from .simhash import _signed, fingerprint, near_links
 
 SHINGLE = 5
 #: The least Jaccard likeness of near-copies.
@@ -81,16 +82,18 @@ def band_keys(sketch: np.ndarray) -> list[int]:
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     by = _multipliers()
     for batch in batches:
-        whole, bands, sizes, sketches = [], [], [], []
+        whole, fps, bands, sizes, sketches = [], [], [], [], []
         for cell in batch.column(2):
-            hashes = shingle_set(cell.as_py())
+            text = cell.as_py()
+            hashes = shingle_set(text)
+            fps.append(_signed(fingerprint(text, SHINGLE)))
             whole.append(xxhash.xxh3_128_digest(hashes.tobytes()))
             sketch = minima(hashes, by).astype("<u2")
             bands.append(band_keys(sketch))
             sizes.append(len(hashes))
             sketches.append(sketch.tobytes())
-        columns = [batch.column(0), batch.column(1), pa.array(whole, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "whole", "bands", "size", "sketch"])
+        columns = [batch.column(0), batch.column(1), pa.array(whole, pa.binary()), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "whole", "fp", "bands", "size", "sketch"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,32 +217,32 @@ def dedup(docs: DataFrame, key: str = "doc_id", least: float = LEAST, most_pairs
     kind = docs.schema[key].dataType.simpleString()
     named = docs.where(F.col(key).isNotNull()).withColumn("_h", F.xxhash64(text_or_empty()))
     made = named.select(F.col(key).alias("id"), F.col("_h").alias("h"), F.encode(text_or_empty(), "UTF-8").alias("_text"))
-    rows = made.mapInArrow(_signatures, f"id {kind}, h long, whole binary, bands array<long>, size long, sketch binary")
+    rows = made.mapInArrow(_signatures, f"id {kind}, h long, whole binary, fp long, bands array<long>, size long, sketch binary")
     nth = F.row_number().over(Window.partitionBy("id").orderBy("h"))
     rows = shared_table(rows.withColumn("_n", nth).where("_n = 1").drop("_n"), "signatures")
-    firsts = rows.groupBy("whole").agg(F.min("id").alias("id")).select("id")
-    firsts = shared_table(rows.join(firsts, "id", "left_semi").select("id", "h", "bands", "size", "sketch"), "firsts")
-
-    classes = near_classes(named, key, SHINGLE).select(F.col(key).alias("id"), F.xxhash64(F.lit("class"), "component_id").alias("band"), F.lit(BANDS).alias("nth")).distinct()
-    spread = firsts.select("id", F.posexplode("bands").alias("nth", "band")).select("id", "band", "nth").unionByName(classes.join(firsts.select("id"), "id", "left_semi"))
+    # Spark takes the first row of a set in each partition before it shuffles, so copies don't meet in one place
+    nth = F.row_number().over(Window.partitionBy("whole").orderBy("id"))
+    firsts = shared_table(rows.withColumn("_n", nth).where("_n = 1").select("id", "h", "fp", "bands", "size", "sketch"), "firsts")
+
+    # a class is named by its smallest fingerprint; one without a link is a class of its own
+    labels = connected_components(near_links(shared_table(rows.select("fp").distinct(), "distinct")), "fp", "hub")
+    classes = firsts.select("id", "fp").join(labels, F.col("fp") == F.col("node"), "left")
+    classes = classes.select("id", F.xxhash64(F.lit("class"), F.coalesce("component", "fp")).alias("band"), F.lit(BANDS).alias("nth"))
+    spread = firsts.select("id", F.posexplode("bands").alias("nth", "band")).select("id", "band", "nth").unionByName(classes)
     shared = spread.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     left = shared_table(spread.hint("merge").join(shared, "band", "left_semi"), "bands")
     waiting = left.select("id").distinct()
     chosen = named.join(firsts.join(waiting, "id", "left_semi").select(F.col("id").alias("_id"), F.col("h").alias("_fh")), (F.col(key) == F.col("_id")) & (F.col("_h") == F.col("_fh")))
-    sets = chosen.select(F.col(key).alias("id"), F.encode(text_or_empty(), "UTF-8").alias("_text")).mapInArrow(_sets, f"id {kind}, shingles binary")
-    sets = shared_table(sets.dropDuplicates(["id"]), "sets")
-
-    sketches = firsts.join(waiting, "id", "left_semi").select("id", "size", "sketch")
+    # rows of one key and hash lie together after the join
+    chosen = chosen.select(F.col(key).alias("id"), "_h", F.encode(text_or_empty(), "UTF-8").alias("_text")).dropDuplicates(["id", "_h"])
+    sets = shared_table(chosen.select("id", "_text").mapInArrow(_sets, f"id {kind}, shingles binary"), "sets")
 
     def compared(ranked: DataFrame) -> DataFrame:
-        """(id, hub) of the rows (id, band, nth, hub, hub_in) and the smaller hubs of their bands that are alike."""
-        blocks = F.ceil(F.count("*") / block_rows).alias("blocks")
-        large = F.broadcast(shared_table(ranked.groupBy("band").agg(blocks).where("blocks > 1"), "large"))
+        """(id, hub) of the rows (id, band, nth, blocks, hub, hub_in) and the smaller hubs of their bands that are alike."""
         # a band that is dealt has its hubs in each block, and besides them the rows that ask
-        dealt = ranked.join(large, "band", "left")
-        own = dealt.select("band", F.coalesce(F.pmod(F.xxhash64("id"), F.col("blocks")), F.lit(0)).alias("block"), "id", (F.col("hub") & F.col("blocks").isNull()).alias("hub"), F.lit(True).alias("asks"), "nth", "hub_in")
-        sent = ranked.where("hub").join(large, "band").select("band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "id", F.lit(True).alias("hub"), F.lit(False).alias("asks"), "nth", "hub_in")
-        met = own.unionAll(sent).hint("merge").join(sketches, "id").repartition("band", "block").sortWithinPartitions("band", "block", "id", F.desc("asks"))
+        own = ranked.select("band", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), "id", (F.col("hub") & (F.col("blocks") == 1)).alias("hub"), F.lit(True).alias("asks"), "nth", "hub_in")
+        sent = ranked.where("hub and blocks > 1").select("band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "id", F.lit(True).alias("hub"), F.lit(False).alias("asks"), "nth", "hub_in")
+        met = own.unionAll(sent).hint("merge").join(firsts.select("id", "size", "sketch"), "id").repartition("band", "block").sortWithinPartitions("band", "block", "id", F.desc("asks"))
         found = met.select("band", "block", "id", "hub", "asks", "size", "sketch", "nth", "hub_in")
         some = shared_table(found.mapInArrow(_asked(least), f"band long, block long, id {kind}, hubs array<{kind}>"), "sketched")
         whole = some.join(sets, "id").repartition("band", "block").sortWithinPartitions("band", "block")
@@ -252,14 +255,17 @@ def dedup(docs: DataFrame, key: str = "doc_id", least: float = LEAST, most_pairs
         # the first hubs alone are like most of the copies
         if most > 1 and pairs_left <= most_pairs * rows_left:
             most = largest
-        nth = F.row_number().over(Window.partitionBy("band").orderBy("id"))
-        left = left.withColumn("_n", nth).select("id", "band", "nth", (F.col("_n") <= most).alias("hub"))
+        in_band, of_id = Window.partitionBy("band").orderBy("id"), Window.partitionBy("id")
+        every = in_band.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        ranks = {"_n": F.row_number().over(in_band), "blocks": F.ceil(F.count("*").over(every) / block_rows)}
+        left = left.withColumns(ranks).select("id", "band", "nth", "blocks", (F.col("_n") <= most).alias("hub"))
         hub_in = F.bit_or(F.when(F.col("hub"), F.expr("shiftleft(1L, nth)")).otherwise(F.lit(0).cast("long")))
-        left = shared_table(left.withColumn("hub_in", hub_in.over(Window.partitionBy("id"))), "ranked")
+        # a row of each of those that have met all smaller ones with their keys, and that all larger ones have met
+        full = F.bool_and("hub").over(of_id) & (F.col("nth") == F.min("nth").over(of_id))
+        left = shared_table(left.withColumns({"hub_in": hub_in.over(of_id), "full": full}), "ranked")
         links = shared_table(compared(left), "links")
-        # those that have met all smaller ones with their keys, and that all larger ones have met
-        full = shared_table(left.groupBy("id").agg(F.bool_and("hub").alias("hub")).where("hub").select("id"), "full")
-        left = left.drop("hub", "hub_in")
+        full = shared_table(left.where("full").select("id"), "full")
+        left = left.select("id", "band", "nth")
         while True:
             stays = full.join(links.select("id").distinct(), "id", "left_anti")
             drop = shared_table(links.join(stays.select(F.col("id").alias("hub")), "hub", "left_semi").select("id").distinct(), "gone")

@@ -77,6 +77,24 @@ def test_components_match_union_find(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+def test_few_edges_need_no_rounds(spark, monkeypatch):
+    """A chain that takes rounds of stars is finished in one task if its edges are few, whatever their number type; both ways agree."""
+    rng = random.Random(5)
+    edges = [(i + 1, i) for i in range(-300, 300)] + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(250)] + [(None, 3), (5, 5)]
+    rng.shuffle(edges)
+    written, write = [], components.shared_table
+    monkeypatch.setattr(components, "shared_table", lambda made, label: written.append(label) or write(made, label))
+    found = []
+    for kind, few in (("long", components.FEW), ("int", components.FEW), ("long", 0), ("string", components.FEW)):
+        written.clear()
+        made = components.connected_components(spark.createDataFrame(edges, "a long, b long").select(F.col("a").cast(kind), F.col("b").cast(kind)), "a", "b", few)
+        assert dict(made.dtypes) == {"node": made.dtypes[0][1], "component": made.dtypes[0][1]}
+        found.append(Counter((r.node, r.component) for r in made.collect()))
+        assert len(written) == 2 if few and kind != "string" else len(written) > 4
+    assert found[0] == found[1] == found[2] and found[0][300, -300] == 1
+    assert len(found[3]) == len(found[0])
+
+
 def test_reply_trees(spark):
     """Two trees with branches, against recursion; a missing parent and a cycle."""
     rows = [("t", i, p, "user" if i % 2 else "assistant", f"m{i}", float(s)) for i, p, s in [(1, None, 1), (2, 1, 5), (3, 1, 2), (4, 2, 0), (5, 2, 9), (6, 5, 1), (7, 3, 4)]]
@@ -624,6 +642,32 @@ def test_near_copies_match_brute_force(spark, clashing, empty):
     assert near_copies.dedup(clashing).columns == clashing.columns and near_copies.dedup(empty).count() == 0
 
 
+def test_classes_of_dedup_cost_no_pass_and_no_rounds(spark, monkeypatch):
+    """Fingerprints come from the pass that makes signatures; a chain of 40 near texts is one class without a table a round."""
+    rng = random.Random(17)
+    base = words(rng, 400).split()
+    rows = []
+    for i in range(40):
+        base = [*base[:9 * i], f"w{i}", *base[9 * i + 1 :]]
+        rows += [(i, " ".join(base)), (100 + i, words(rng, 40))]
+    rows += [(0, rows[0][1]), (500, rows[0][1]), (None, "left")]
+    written = []
+    for module in (near_copies, simhash, components):
+        monkeypatch.setattr(module, "shared_table", lambda made, label, write=module.shared_table: written.append(label) or write(made, label))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def shingles(text):
+        w = text.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    kept = {}
+    for i, mine in sorted({r[0]: shingles(r[1]) for r in rows if r[0] is not None}.items()):
+        if not any(len(mine & s) >= 0.8 * len(mine | s) for s in kept.values()):
+            kept[i] = mine
+    assert Counter(r.doc_id for r in near_copies.dedup(df).collect()) == Counter(list(kept)) + Counter({None: 1})
+    assert written.count("edges") <= 2 and not {"fingerprints", "classes", "large"} & set(written), written
+
+
 def test_unlike_texts_of_one_band_meet_without_a_row_a_pair(spark, monkeypatch):
     """Of 240 texts that share bands but are unlike, no pair is a row before sketches say so; any cut of bands and batches finds the same."""
     rng = random.Random(21)

@@ -32,11 +32,11 @@ def test_output_of_one_key_is_dealt_over_tasks(spark):
     assert Counter(tuple(x) for x in mates) == Counter((str(i), "7", n, n * (n - 1) // 2, float((n - 1) * n * (2 * n - 1) // 6), "7") for i in range(n))
 
 
-@pytest.mark.parametrize("keys", [1, 1000])
+@pytest.mark.parametrize("side, keys", [(4, 1), (4, 1000), (1000, 1000)])
 @pytest.mark.parametrize("kinds", [("int", "int"), ("int", "string"), ("string", "string"), ("double", "double")])
-def test_cut_joins_match_nested_loops(spark, monkeypatch, keys, kinds):
+def test_cut_joins_match_nested_loops(spark, monkeypatch, side, keys, kinds):
     """Null keys, equal rows, keys of a side only, keys that are cut and others, a key of two columns."""
-    for name, value in {"TASK_ROWS": 50, "GROWTH": 0, "SIDE": 4, "KEYS": keys}.items():
+    for name, value in {"TASK_ROWS": 50, "GROWTH": 0, "SIDE": side, "KEYS": keys}.items():
         monkeypatch.setattr(fanout, name, value)
     rng = random.Random(5)
     table = lambda n, lo: [(rng.choice([None, 1, 1, 1, 2, *range(lo, lo + 5)]), rng.choice(["", "a", "a", None]), rng.randrange(3)) for _ in range(n)]
@@ -70,8 +70,8 @@ def test_cut_joins_in_a_chain(spark, monkeypatch):
 def test_output_is_estimated(spark):
     one, many = spark.range(200_000).select(F.col("id").alias("k")), spark.range(200_000).select((F.col("id") % 20).alias("k"))
     of = lambda x, y: fanout.estimate((x, [F.col("k")]), (y, [F.col("k")]))
-    assert of(many, many) == (pytest.approx(20 * 10_000**2, rel=0.05), 400_000)
-    assert of(one, one)[0] == pytest.approx(200_000, rel=0.05)
+    assert of(many, many) == (pytest.approx(20 * 10_000**2, rel=0.1), 400_000)
+    assert of(one, one)[0] == pytest.approx(200_000, rel=0.1)
     assert of(one.where("k < 0"), many) == (0, 200_000)
 
 
